@@ -48,3 +48,21 @@ class Scratch:
         for path in [f"{self.root}/{n}" for n in names] or [self.root]:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once for each context."""
+    import pathlib
+    import zipfile
+
+    sc, here = spark.sparkContext, pathlib.Path(__file__).resolve().parent
+    if getattr(sc, "_skein_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="skein-zip-")  # the driver serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/skein_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(path)
+    sc._skein_shipped = True
