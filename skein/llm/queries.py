@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, mixing, secret_scan, sharding
+from skein.llm import decontaminate, language_id, mixing, samples, secret_scan, sharding, toxicity
 
 SHARDS = 24
 
@@ -27,8 +27,21 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
 
+def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    out = toxicity.tag(docs, model)
+    return out.select("doc_id", (samples.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_toxic_words", "spans")
+
+
+def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    return out.select("doc_id", (samples.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_shard_ring, op5_decontaminate, op7_secret_ledger, op10_mix_curriculum)}
+QUERIES = {f.__name__: f for f in (op3_shard_ring, op5_decontaminate, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
