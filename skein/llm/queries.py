@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, language_id, mixing, ngram_join, samples, secret_scan, sharding, toxicity
+from skein.llm import decontaminate, language_id, mixing, ngram_join, samples, secret_scan, sharding, suffix_dedup, toxicity
 
 SHARDS = 24
 
@@ -14,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(_read(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_shard_ring, op5_decontaminate, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op5_decontaminate, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
