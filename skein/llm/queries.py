@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, language_id, mixing, ngram_join, samples, secret_scan, sharding, suffix_dedup, toxicity
+from skein.llm import ann, decontaminate, language_id, mixing, ngram_join, samples, secret_scan, sharding, suffix_dedup, toxicity
 
 SHARDS = 24
 
@@ -27,6 +27,10 @@ def op3_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "ring_cell", "moved")
 
 
+def op4_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -52,4 +56,4 @@ def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op5_decontaminate, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op4_ann_tree, op5_decontaminate, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
