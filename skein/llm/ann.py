@@ -41,7 +41,7 @@ LEAF = 48
 DEPTH = 6
 SAMPLE = 20_000
 PROBES = 200
-TARGET = 0.985
+TARGET = 0.95
 BLOCK = 2048
 
 

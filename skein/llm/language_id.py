@@ -152,7 +152,8 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    columns = keep or [key]
+    columns = [c for c in keep or [key] if c not in ("lang_pred", "score", "__text")]
+    source = text if text in columns else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
         for batch in batches:
             names, scores = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows)
             if model:
-                for lo, hi, data, offs in tokens.blocks(batch.column("__text")):
+                for lo, hi, data, offs in tokens.blocks(batch.column(source)):
                     for a in range(0, hi - lo, 256):
                         part = offs[a : min(a + 256, hi - lo) + 1]
                         own, part = data[part[0] : part[-1]], part - part[0]
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             out = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    rows = docs.select(*columns, F.col(text).alias("__text"))
+    rows = docs.select(*columns) if source == text else docs.select(*columns, F.col(text).alias("__text"))
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {types[c].simpleString()}" for c in columns] + ["lang_pred string", "score double"])
     return rows.mapInArrow(run, schema)

@@ -62,15 +62,19 @@ def targets(sizes: DataFrame, cap: int = CAP, slope: float = SLOPE) -> DataFrame
     )
 
 
-def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position; sorted by position."""
-    place = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
+def _source(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def _place(key: Column) -> Column:
+    return F.md5(F.coalesce(key.cast("string"), F.lit("null")))
+
+
+def lay(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Each row's place among its source's words (``at``), whole rounds, extra words of the last round, taken and copies."""
+    place = _place(F.col(key))
     rows = docs.select(
-        F.col(key).alias("doc_id"),
-        words(F.col(text)).alias("size"),
-        F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string"))).alias("sk"),
-        place.alias("place"),
-        F.substring(place, 1, BUCKET_HEX).alias("bucket"),
+        F.col(key).alias("doc_id"), words(F.col(text)).alias("size"), _source(F.col(source)).alias("sk"), place.alias("place"), F.substring(place, 1, BUCKET_HEX).alias("bucket")
     )
     sums = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("n"))
     per = targets(sums.groupBy("sk").agg(F.sum("n").alias("source_size")), cap, slope)
@@ -78,22 +82,41 @@ def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_i
     buckets = sums.withColumn("start", F.coalesce(F.sum("n").over(start), F.lit(0))).join(per, "sk").drop("n")
     inside = Window.partitionBy("sk", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     asked = F.floor(F.col("target") + 0.5).cast("long")
-    laid = (
+    return (
         rows.join(buckets, ["sk", "bucket"])
         .withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0).cast("long")))
         .withColumn("more", asked - F.col("rounds") * F.col("source_size"))
         .withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("more") - F.col("at"))))
         .withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
-        .withColumn("copies", (F.col("rounds") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)))
+        .withColumn("copies", F.when(F.col("size") > 0, F.col("rounds") + F.when(F.col("extra") > 0, 1).otherwise(0)).otherwise(F.lit(0)).cast("int"))
     )
+
+
+def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, position; sorted by position."""
     share = F.col("at") / F.col("target")
     b = F.lit(1.0) - F.col("slope")  # slope*t^2 + (1 - slope)*t = share
-    time = (F.sqrt(b * b + F.lit(4.0) * F.col("slope") * share) - b) / (F.lit(2.0) * F.col("slope"))
-    time = (share if slope == 0 else time) + F.lit(0.0)
+    time = share if slope == 0 else (F.sqrt(b * b + F.lit(4.0) * F.col("slope") * share) - b) / (F.lit(2.0) * F.col("slope"))
     return (
-        laid.withColumn("position", F.when((F.col("copies") > 0) & (F.col("target") > 0), time))
+        lay(docs, cap, slope, key, text, source)
+        .withColumn("position", F.when((F.col("copies") > 0) & (F.col("target") > 0), time + F.lit(0.0)))
         .select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
+
+
+def copies(docs: DataFrame, cap: int = CAP, key: str = "doc_id", text: str = "text", source: str = "source", most_sources: int = 100_000) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, a part counting as once.
+
+    Within a source the rows up to one place in the order are taken once more, so a
+    row's copies follow from its source's rounds and that place; no text is shuffled.
+    The sources are broadcast if they are ``most_sources`` at most.
+    """
+    last = F.max(F.when(F.col("extra") > 0, F.concat("place", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, " "))))
+    per = lay(docs, cap, SLOPE, key, text, source).groupBy("sk").agg(F.max("rounds").alias("__rounds"), last.alias("__last")).withColumnRenamed("sk", "__sk")
+    small = per.limit(most_sources + 1).count() <= most_sources
+    here = F.concat(_place(F.col(key)), F.lpad(F.coalesce(F.col(key).cast("string"), F.lit("")), 20, " "))
+    n = F.col("__rounds") + F.when(here <= F.col("__last"), 1).otherwise(0)
+    rows = docs.withColumn("__sk", _source(F.col(source))).join(F.broadcast(per) if small else per, "__sk")
+    return rows.where((words(F.col(text)) > 0) & (n > 0)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("__copy")).drop("__copy")

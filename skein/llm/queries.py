@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, decontaminate, language_id, mixing, ngram_join, samples, secret_scan, sharding, suffix_dedup, toxicity
+from skein.llm import ann, decontaminate, language_id, mixing, ngram_join, pii, samples, secret_scan, sharding, suffix_dedup, toxicity
 
 SHARDS = 24
 
@@ -35,6 +35,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_pii_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.train(docs)))
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
@@ -56,4 +61,4 @@ def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op4_ann_tree, op5_decontaminate, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op4_ann_tree, op5_decontaminate, op6_pii_lstm, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}

@@ -11,7 +11,8 @@ all rows but the overflow lie where plain consistent hashing puts them.
 Only counts per cell reach the driver (``CELLS`` numbers, whatever the input), and
 only the resulting segments (cells plus one for each filled shard at most) are
 broadcast. Rows are ranked within their cell, so no task holds more than a cell's
-share. The text is read once for its size and checksum and never shuffled.
+share. The text is read once for its size and checksum, and shuffled only if it is
+to be returned.
 
 Null keys are placed by the checksum of their text. Null texts have no bytes and
 checksum 0. Rows that are equal in all of key, size and checksum get ranks in any
@@ -68,8 +69,8 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)
 
 
-def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ring_cell, size, text_crc32, shard, slot and moved (those of ``docs`` by these names give way)."""
+def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` (its text only if asked for) with ring_cell, size, text_crc32, shard, slot and moved (those of ``docs`` by these names give way)."""
     spark = docs.sparkSession
     made = ["ring_cell", "size", "text_crc32", "shard", "slot", "moved"]
     crc = F.coalesce(F.crc32(F.col(text)), F.lit(0).cast("long"))
@@ -79,7 +80,7 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
     plan = spark.createDataFrame(
         segments(counts, shards), "seg_cell int, seg_from long, seg_end long, shard int, seg_slot long, moved boolean"
     )
-    rest = [c for c in docs.columns if c != text and c not in made]
+    rest = [c for c in docs.columns if (with_text or c != text) and c not in made]
     rows = docs.select(*rest, cell.alias("ring_cell"), text_size(F.col(text)).alias("size"), crc.alias("text_crc32"), place.alias("__place"))
     order = Window.partitionBy("ring_cell").orderBy("__place", key, "size", "text_crc32")
     ranked = rows.withColumn("__rank", F.row_number().over(order) - 1)
