@@ -36,7 +36,7 @@ from skein.storage import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 DOCS = 800
-GENERATED = 900
+GENERATED = 1600
 WINDOW = 64
 REACH = 32
 HIDDEN = 16
@@ -293,10 +293,10 @@ def _generate(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]
     num = lambda n: "".join(str(c) for c in rng.integers(0, 10, n))
     words = lambda: " ".join(word() for _ in range(rng.integers(1, 5)))
     text, spans, kind = words() + " ", [], int(rng.integers(0, 5)) - 1
-    odd = rng.random() < 0.3  # as the rules don't see it
+    odd = rng.random() < 0.5  # as the rules don't see it
     if kind == 0:
         at = rng.choice([" @ ", " @", "@ "]) if odd else "@"
-        s = word() + str(rng.choice(["", ".", "_"])) + word() + at + word() + "." + str(rng.choice(["com", "org", "net", "example", "co.uk"]))
+        s = word() + str(rng.choice(["", ".", "_"])) + word() + at + str(rng.choice(["", word() + "."])) + word() + "." + str(rng.choice(["com", "org", "net", "example", "co.uk"]))
     elif kind == 1:
         s = str(rng.choice([" . ", " ."]) if odd else ".").join(str(x) for x in rng.integers(0, 256, 4))
     elif kind == 2:
