@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.storage import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -100,7 +102,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     """One row for each version: doc_id, blob, found (its spans by start, then rule). Only pairs new to ``ledger`` are scanned."""
     body = F.coalesce(F.col(text), F.lit(""))
     versions = docs.select(F.col(key).alias("doc_id"), F.sha2(body, 256).alias("blob"), body.alias("text"))
-    new = scan_blobs(versions, rules, ledger)
+    # Written as rows of the ledger: read back, the few findings join as a table of their own, and many paths of one blob can be split.
+    new = Scratch(docs.sparkSession).save(scan_blobs(versions, rules, ledger), "ledger")
     rows = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version").isin([r.version for r in rules])).select("blob", "rule_version", "spans"))
     found = rows.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
     return versions.select("doc_id", "blob").join(found, "blob", "left").withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {SPAN})")))
