@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import ann, decontaminate, language_id, mixing, ngram_join, pii, samples, secret_scan, sharding, suffix_dedup, toxicity
+from skein.llm.oracles import ORACLES  # noqa: F401
 
 SHARDS = 24
 
