@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from skein.llm import samples, tokens
 from skein.storage import ship_package
 
-MOST = 4000  # documents of each label that are learnt from, at most
-FIELD_DOCS = 600  # of each label that the field itself is fitted to
+MOST = 1500  # documents of each label that are learnt from, at most
+FIELD_DOCS = 400  # of each label that the field itself is fitted to
 PREFIXES = (6, 4)
 TAG = 0.5
 THRESHOLD = 0.3
@@ -102,6 +102,7 @@ class Model:
             c1, c0 = (np.bincount(f[toxic[d] == y], minlength=len(names)) for y in (True, False))
             odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
             error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
+            del pair, d, f, inverse
             marked.append(names[(c1 >= 3) & (odds > 1) & (odds / error > 3)])
             known.append(names[(c1 + c0 >= 3) & (np.abs(odds) / error > 2)])
         self.known = np.unique(np.concatenate(known))
