@@ -65,7 +65,8 @@ def normalize_spaces(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"\( ", "("))
 
 
-#: Cross references that are cut out of paragraphs, in this order (fixed values).
+#: Cross references that are cut out of paragraphs, in this order (fixed values). The last starts where a sentence does:
+#: it reaches left to the last full stop anyway, and other starts would be tried in vain.
 CROSS_REFERENCES = (
     r"\s*(?:For (?:more|further|additional) information[^.]*,\s*)?refer to [^.]+(?:\.|$)",
     r"\s*For additional discussion[^.]*refer to [^.]+(?:\.|$)",
@@ -73,14 +74,22 @@ CROSS_REFERENCES = (
     r"\s*The table below [^.]+(?:\.|$)",
     r"\s*The following graph [^.]+(?:\.|$)",
     r"\s+provided in the following table",
-    r"\s*[^.]*\b(?:provided|reported|captured|presented)\s+in\s+(?:the\s+)?(?:table below|following table)[^.]*[.:]?",
+    r"(?<![^.])\s*[^.]*\b(?:provided|reported|captured|presented)\s+in\s+(?:the\s+)?(?:table below|following table)[^.]*[.:]?",
 )
 
 
+#: What a text must hold (lower-cased) for each of these to match; without it the costly pattern isn't tried.
+NEEDLES = ("refer to", "refer to", "the following table", "the table below", "the following graph", "following table", "table")
+
+
+def _without(needle: str, pattern: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(F.contains(F.lower(t), F.lit(needle)), F.regexp_replace(t, pattern, "")).otherwise(t)
+
+
 def clean_paragraph(x: Column) -> Column:
     x = normalize_spaces(x)
-    for pattern in CROSS_REFERENCES:
-        x = F.regexp_replace(x, f"(?i){pattern}", "")
+    for needle, pattern in zip(NEEDLES, CROSS_REFERENCES, strict=True):
+        x = let(x, _without(needle, f"(?i){pattern}"))
     return normalize_spaces(x)
 
 

@@ -255,3 +255,65 @@ oracle("normalize_spaces", DOCS, f"SELECT doc_id, length(x)::INT AS n, md5(x) AS
 oracle("count_words", DOCS, f"SELECT doc_id, {words('content')}::INT AS words FROM docs")
 oracle("section_counts", CHUNKS, "SELECT section, count(*) AS chunks FROM chunks GROUP BY 1")
 oracle("quality_label", DOCS + ", t AS (SELECT doc_id, substr(content, 1, 1600) AS x FROM docs)", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN length(x) BETWEEN 300 AND 1200 THEN 'high' ELSE 'medium' END WHEN length(x) BETWEEN 300 AND 1200 AND {words('x')} >= 35 THEN 'high' WHEN length(x) BETWEEN 150 AND 1500 THEN 'medium' ELSE 'low' END AS quality FROM t")
+
+_REFERENCES = (  # the cross references of a paragraph, as RE2
+    r"\s*(?:For (?:more|further|additional) information[^.]*,\s*)?refer to [^.]+(?:\.|$)",
+    r"\s*For additional discussion[^.]*refer to [^.]+(?:\.|$)",
+    r"\s*The following tables? (?:summarizes?|provides?|presents?|sets forth)[^.]+(?:\.|$)",
+    r"\s*The table below [^.]+(?:\.|$)",
+    r"\s*The following graph [^.]+(?:\.|$)",
+    r"\s+provided in the following table",
+    r"\s*[^.]*\b(?:provided|reported|captured|presented)\s+in\s+(?:the\s+)?(?:table below|following table)[^.]*[.:]?",
+)
+
+
+def cleaned(source: str, key: str, x: str, name: str) -> str:
+    """CTEs that clean a column step by step."""
+    ctes = [f"{name}0 AS (SELECT {key}, {spaces(x)} AS x FROM {source})"]
+    for i, pattern in enumerate(_REFERENCES):
+        ctes.append(f"{name}{i + 1} AS (SELECT {key}, regexp_replace(x, {q('(?i)' + pattern)}, '', 'g') AS x FROM {name}{i})")
+    ctes.append(f"{name} AS (SELECT {key}, {spaces('x')} AS x FROM {name}{len(_REFERENCES)})")
+    return ", ".join(ctes)
+
+
+_SURROUNDED = "'Kept. For more information on this, refer to page 5. ' || content || ' The following table presents it. As reported in the table below: x'"
+oracle("clean_paragraph", DOCS + ", " + cleaned("docs", "doc_id", _SURROUNDED, "c"), "SELECT doc_id, length(x)::INT AS n, md5(x) AS hash FROM c")
+_heading = f"""CASE WHEN x = '' OR starts_with(x, '• ') THEN false WHEN regexp_full_match(x, 'Item\\s+\\d+[A-Z]?\\..*') THEN true WHEN ends_with(x, ':') AND length(x) <= 140 THEN true
+  WHEN length(x) <= 95 AND NOT ends_with(x, '.') AND {words("x")} <= 12 THEN NOT {_metric("x")} WHEN regexp_matches(x, '\\p{{L}}') AND upper(x) = x AND length(x) <= 120 THEN true
+  WHEN section = {q(rules.RISK)} THEN length(x) <= 220 AND ends_with(x, '.') AND {words("x")} <= 28 AND {_starts("x", rules.RISK_STARTERS)} ELSE false END"""
+oracle("heading_flags", BLOCKS + ", " + cleaned("blocks", "doc, ordinal, section", "text", "c"), f"SELECT doc, ordinal::INT AS ordinal, {_heading} AS heading FROM c")
+_breaks = "regexp_replace(" + spaces("content") + ", '([.!?]) ([A-Z0-9\"''])', '\\1' || chr(10) || '\\2', 'g')"
+oracle("prose_sentences", DOCS, f"SELECT doc_id, len(list_filter(string_split({_breaks}, chr(10)), lambda s: s <> ''))::INT AS sentences FROM docs")
+
+_TITLES = [n for n, _ in (*rules.TOPIC_RULES, *rules.RISK_TOPICS)] + ["business", "Risk factors", "net income was up", "plain, cut here", "var moved"]
+TOPICAL = f"{DOCS}, topical AS (SELECT doc_id, {listed(_TITLES)}[(doc_id % {len(_TITLES)} + 1)::INT] AS title, {listed(rules.SECTIONS)}[((doc_id // {len(_TITLES)}) % 3 + 1)::INT] AS section, substr(content, 1, 1600) AS text FROM docs)"
+_case = lambda x, table: " ".join(f"WHEN contains({x}, {q(n)}) THEN {q(t)}" for n, t in table)
+_raw = "regexp_replace(title, '[.:]+$', '')"
+_hay = f"lower({_raw} || ' ')"
+_generic = "CASE lower(" + _raw + ") " + " ".join(f"WHEN {q(n)} THEN {q(t)}" for n, t in rules.GENERIC_TITLES.items()) + " END"
+_short = f"regexp_replace(string_split_regex({_raw}, {q(rules.TITLE_CUT)})[1], '^[ .:\\-]+|[ .:\\-]+$', '', 'g')"
+_seven = f"array_to_string(string_split({_short}, ' ')[1:7], ' ')"
+_topic = f"""CASE {_case(_hay, rules.PRIORITY_TOPICS)} WHEN section = {q(rules.MDA)} AND regexp_matches({_hay}, '\\bvar\\b') THEN 'Value-at-risk' {_case(_hay, rules.TOPIC_RULES)}
+  WHEN section = {q(rules.RISK)} THEN CASE {_case(_hay, rules.RISK_TOPICS)} ELSE 'Risk factor' END ELSE coalesce({_generic}, nullif({_seven}, ''), section) END"""
+oracle(
+    "semantic_topic", TOPICAL + f", t AS (SELECT doc_id, {_topic} AS topic, lower(text) AS low FROM topical)",
+    "SELECT doc_id, topic, lower(topic) IN ('management discussion and analysis', 'financial performance drivers') OR starts_with(low, 'comparisons noted in the sections below') OR starts_with(low, 'selected business metrics') OR contains(low, 'the following is a discussion') AS low_value, topic AS title FROM t",
+)
+
+
+def _secondary(table: str, hay: str) -> str:
+    if table not in rules._SECONDARY:
+        return q(table)
+    groups, last = rules._SECONDARY[table]
+    return "CASE " + " ".join(f"WHEN {any_of(hay, n)} THEN {q(g)}" for g, n in groups) + f" ELSE {q(last)} END"
+
+
+def _taxonomy(secondary: bool) -> str:
+    out = "CASE "
+    for section, table in rules.TAXONOMY.items():
+        arms = " ".join(f"WHEN {any_of('low' if where == 'topic' else 'hay', needles)} THEN {_secondary(second, 'hay') if secondary else q(first)}" for where, needles, first, second in table)
+        out += f"WHEN section = {q(section)} THEN CASE {arms} END "
+    return out + "END"
+
+
+oracle("taxonomy", TOPICAL + ", t AS (SELECT doc_id, section, lower(title) AS low, lower(title || '  ') AS hay FROM topical)", f"SELECT doc_id, {_taxonomy(False)} AS primary_topic, {_taxonomy(True)} AS secondary_topic FROM t")
