@@ -16,7 +16,7 @@ and that choice depends on the words there alone.
    together this finds every repeated stretch of ``LEAST`` words.
 3. What is found is merged to maximal passages of each document.
 
-Suffixes whose first words occur in more than ``HOT`` documents aren't gathered:
+Suffixes whose first words stand in more than ``HOT`` places aren't gathered:
 their stretches of ``LEAST`` words are aggregated by hash, combined on each task
 first. At most ``HOT_KEYS`` such prefixes are broadcast; beyond that ``HOT`` doubles.
 
@@ -40,7 +40,7 @@ REACH = LEAST - GRAM
 BITS = 1 << 26
 HOT = 20_000
 HOT_KEYS = 200_000
-PER_SHARD = 100_000
+PER_SHARD = 25_000
 FLUSH = 2_000_000
 _NONE = -(1 << 63)
 
@@ -85,12 +85,16 @@ def repeated(docs: DataFrame, size: int, hot: int) -> tuple[np.ndarray, int, np.
     per = bits // buckets
 
     def emit(parts):
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        """By bucket the prefixes that occur once, and the others with the numbers of documents and of places."""
+        keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.bincount(first, minlength=len(keys))
+        places = np.bincount(first, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
         cut = np.searchsorted((keys >> lead).astype(np.int64), np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cut))
-        split = [(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]) for b in some]
+        split = [[x[cut[b] : cut[b + 1]] for x in (keys, counts, places)] for b in some]
+        more = [np.stack([c, n], 1)[n > 1].astype(np.int64).tobytes() for _, c, n in split]
         return pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([k[c == 1].tobytes() for k, c in split], pa.binary()), pa.array([k[c > 1].tobytes() for k, c in split], pa.binary()), pa.array([c[c > 1].astype(np.int32).tobytes() for _, c in split], pa.binary())],
+            [pa.array(some.astype(np.int32)), pa.array([k[n == 1].tobytes() for k, _, n in split], pa.binary()), pa.array([k[n > 1].tobytes() for k, _, n in split], pa.binary()), pa.array(more, pa.binary())],
             names=["bucket", "once", "more", "counts"],
         )
 
@@ -103,9 +107,9 @@ def repeated(docs: DataFrame, size: int, hot: int) -> tuple[np.ndarray, int, np.
                 row = np.searchsorted(w.bounds, at, "right") - 1
                 order = np.lexsort((key, row))
                 key, row = key[order], row[order]
-                first = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
-                parts.append(key[first])  # a document counts once
-                held += len(parts[-1])
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, int)
+                parts.append((key[first], np.diff(np.append(first, len(key)))))
+                held += len(first)
                 if held >= FLUSH:
                     yield emit(parts)
                     parts, held = [], 0
@@ -117,22 +121,22 @@ def repeated(docs: DataFrame, size: int, hot: int) -> tuple[np.ndarray, int, np.
         once, more = join("once", np.uint64), join("more", np.uint64)
         keys = np.concatenate([once, more])
         order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], np.concatenate([np.ones(len(once), np.int64), join("counts", np.int32).astype(np.int64)])[order]
+        keys, n = keys[order], np.concatenate([np.ones((len(once), 2), np.int64), join("counts", np.int64).reshape(-1, 2)])[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        n = np.add.reduceat(n, first) if len(first) else n
+        n, places = (np.add.reduceat(n, first) if len(first) else n).T
         keys = keys[first]
         bucket = table.column("bucket")[0].as_py()
         flags = np.zeros(per, np.uint8)
         flags[(keys[n > 1] >> np.uint64(shift)).astype(np.int64) - bucket * per] = 1
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary()), "hot": pa.array([keys[n > hot].view(np.int64).tolist()], pa.list_(pa.int64())), "hot_n": pa.array([n[n > hot].tolist()], pa.list_(pa.int64()))})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary()), "hot": pa.array([keys[(n > 1) & (places > hot)].view(np.int64).tolist()], pa.list_(pa.int64())), "hot_n": pa.array([places[(n > 1) & (places > hot)].tolist()], pa.list_(pa.int64()))})
 
     rows = docs.select("text").mapInArrow(count, "bucket int, once binary, more binary, counts binary")
     found = rows.groupBy("bucket").applyInArrow(total_up, "bucket int, bits binary, hot array<bigint>, hot_n array<bigint>").toPandas()
     flags = np.zeros(bits // 8, np.uint8)
     for b, x in zip(found["bucket"], found["bits"], strict=True):
         flags[b * per // 8 : (b + 1) * per // 8] = np.frombuffer(x, np.uint8)
-    keys = np.concatenate([np.zeros(0, np.int64), *found["hot"]]).astype(np.int64).view(np.uint64)
-    n = np.concatenate([np.zeros(0, np.int64), *found["hot_n"]])
+    whole = lambda name: np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in found[name]]])  # noqa: E731  an empty list may come as floats
+    keys, n = whole("hot").view(np.uint64), whole("hot_n")
     while (n > hot).sum() > HOT_KEYS:
         hot *= 2
     return flags, shift, np.sort(keys[n > hot])
@@ -170,7 +174,7 @@ def suffixes(docs: DataFrame, flags: np.ndarray, shift: int, hot: np.ndarray, sh
                     for i in np.flatnonzero(is_hot):
                         t = np.arange(max(0, REACH - right[i]), min(REACH, left[i]) + 1)
                         around[i] = stretch[at[i] - t].tobytes() if len(t) else b""
-                shard = pa.array((key % np.uint64(shards)).astype(np.int32), mask=is_hot)
+                shard = pa.array(((key >> np.uint64(1)) % np.uint64(shards)).astype(np.int32), mask=is_hot)
                 yield pa.RecordBatch.from_arrays(
                     [shard, pa.array(key.view(np.int64)), pa.array(ids[lo + row]), pa.array(left.astype(np.int32)), pa.array((left + right + GRAM).astype(np.int32)), pa.array(around, pa.binary())],
                     names=["shard", "key", "doc_id", "at", "n_words", "around"],
@@ -239,11 +243,11 @@ def hot_stretches(rows: DataFrame) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                h = np.frombuffer(batch.column("around")[i].as_py(), np.int64)
-                left, right = batch.column("at")[i].as_py(), batch.column("n_words")[i].as_py() - batch.column("at")[i].as_py() - GRAM
-                t = np.arange(max(0, REACH - right), min(REACH, left) + 1)[: len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), batch.column("doc_id")[i].as_py(), np.int64)), pa.array((left - t).astype(np.int32))], names=["h", "doc_id", "from"])
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("around")]
+            size = np.array([len(x) for x in h], np.int64)
+            at, words, ids = (batch.column(c).to_numpy().astype(np.int64) for c in ("at", "n_words", "doc_id"))
+            t = np.repeat(np.maximum(0, REACH - (words - at - GRAM)) - np.cumsum(size) + size, size) + np.arange(size.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *h])), pa.array(np.repeat(ids, size)), pa.array((np.repeat(at, size) - t).astype(np.int32))], names=["h", "doc_id", "from"])
 
     each = rows.select("doc_id", "at", "n_words", "around").mapInArrow(unpack, "h long, doc_id long, from int")
     shared = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
