@@ -50,11 +50,17 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of all executors, once for each context."""
     import pathlib
     import zipfile
 
+    # Rows here are texts and sets of them: a batch of 10,000 would take tens of MB in each JVM and Python worker at once.
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     sc, here = spark.sparkContext, pathlib.Path(__file__).resolve().parent
     if getattr(sc, "_skein_shipped", False):
         return
