@@ -388,19 +388,19 @@ def _topical(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = len(rules.TOPIC_RULES) + len(rules.RISK_TOPICS) + 5
     return d.select(
         "doc_id", F.get(needles, (F.col("doc_id") % n).cast("int")).alias("title"), F.get(sections, (F.floor(F.col("doc_id") / n) % 3).cast("int")).alias("section"),
-        F.substring("content", 1, 1600).alias("text"), F.when(F.col("doc_id") % 5 == 0, "table_summary").otherwise("text").alias("kind"),
+        F.col("content").alias("text"), F.when(F.col("doc_id") % 5 == 0, "table_summary").otherwise("text").alias("kind"),
     )
 
 
 @query
 def semantic_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rules.semantic_topic(F.col("title"), F.col("section"), F.lit(""))
+    t = rules.semantic_topic(F.col("title"), F.col("section"), F.col("text"))
     return _topical(spark, sf_dir).select("doc_id", t.alias("topic"), rules.low_value(t, F.col("text")).alias("low_value"), T.concise_title(t, F.col("title")).alias("title"))
 
 
 @query
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rules.taxonomy(F.col("title"), F.lit(""), F.lit(""), F.col("section"))
+    t = rules.taxonomy(F.col("title"), F.lit(""), F.col("text"), F.col("section"))
     return _topical(spark, sf_dir).select("doc_id", t["primary_topic"].alias("primary_topic"), t["secondary_topic"].alias("secondary_topic"))
 
 

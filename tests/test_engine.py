@@ -301,3 +301,23 @@ def test_streaming_ingest(spark, tmp_path):
 def test_cases_file(spark, tmp_path):
     jsonl.write_cases(spark.createDataFrame([("q1", "why?")], "qid string, question string"), str(tmp_path / "a" / "cases.json"))
     assert [tuple(r) for r in jsonl.read_cases(spark, str(tmp_path / "a" / "cases.json")).select("qid", "question", "task_type", "position").collect()] == [("q1", "why?", "qa", 0)]
+
+
+def test_topic_queries_read_whole_texts(spark, tmp_path):
+    from skein.plans import queries
+
+    titles = len(rules.TOPIC_RULES) + len(rules.RISK_TOPICS) + 5
+    plain = titles - 2  # its title holds no needle
+    needle = rules.PRIORITY_TOPICS[0]
+    group, words = rules.FINANCIAL[0]
+    long = "xyz " * 500 + f"{needle[0]} {words[0]} the following is a discussion"
+    spark.createDataFrame([(plain, long, "en", "s", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(queries._topical(spark, str(tmp_path)).first().text) == len(long)
+    got = queries.semantic_topic(spark, str(tmp_path)).first()
+    assert got.topic == needle[1] and got.low_value
+    t = queries._topical(spark, str(tmp_path))
+    one = t.select(rules.taxonomy(t.title, F.lit(""), t.text, t.section).alias("t")).first().t
+    out = queries.taxonomy(spark, str(tmp_path)).first()
+    assert (out.primary_topic, out.secondary_topic) == (one.primary_topic, one.secondary_topic)
+    cut = t.select(rules.taxonomy(t.title, F.lit(""), F.lit(""), t.section).alias("t")).first().t
+    assert (cut.primary_topic, cut.secondary_topic) != (one.primary_topic, one.secondary_topic)
