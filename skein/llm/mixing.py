@@ -16,8 +16,9 @@ gives more than ``CAP`` times its size.
 The weight schedule of a source is linear in training time t in [0, 1], from
 ``1 - slope`` to ``1 + slope`` times its mean; its integral, the cumulative demand,
 is ``target * (t + slope * (t*t - t))``, whose inverse gives each document the time
-at which it is first due (``position``; null if not taken). The result is
-range-sorted by position.
+at which each of its copies is due (``positions``, one for each round; the first is
+``position``; null if not taken). The result is range-sorted by the first; exploded
+and sorted by position, the copies follow the whole schedule.
 
 Sums of words run over (source, hash bucket) first and then inside a bucket, so no
 window holds more than 1 / ``BUCKETS`` of a source. Texts are never shuffled.
@@ -94,14 +95,19 @@ def lay(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_i
 
 
 def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position; sorted by position."""
-    share = F.col("at") / F.col("target")
+    """doc_id, size, source_size, target, taken, copies, position, positions; sorted by position."""
     b = F.lit(1.0) - F.col("slope")  # slope*t^2 + (1 - slope)*t = share
-    time = share if slope == 0 else (F.sqrt(b * b + F.lit(4.0) * F.col("slope") * share) - b) / (F.lit(2.0) * F.col("slope"))
+
+    def due(round_: Column) -> Column:
+        share = (F.col("at") + round_ * F.col("source_size")) / F.col("target")
+        time = share if slope == 0 else (F.sqrt(b * b + F.lit(4.0) * F.col("slope") * share) - b) / (F.lit(2.0) * F.col("slope"))
+        return time + F.lit(0.0)
+
     return (
         lay(docs, cap, slope, key, text, source)
-        .withColumn("position", F.when((F.col("copies") > 0) & (F.col("target") > 0), time + F.lit(0.0)))
-        .select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+        .withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), due)))
+        .withColumn("position", F.get("positions", F.lit(0)))
+        .select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 

@@ -114,3 +114,20 @@ def test_inverse_of_cumulative_demand(spark):
         for r in got:
             t, s = times[r.doc_id], r.slope
             assert r.target * (t + s * (t * t - t)) == pytest.approx(r["at"], abs=1e-6)
+
+
+def test_every_round_has_its_position(spark):
+    rows = [(i, "w " * (i % 5 + 1), "a" if i < 280 else "b", "", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for slope in (0.0, 0.5):
+        laid = mixing.lay(df, slope=slope).collect()
+        got = {r.doc_id: r for r in mixing.mix(df, slope=slope).collect()}
+        assert max(r.copies for r in laid) == 3
+        for r in laid:
+            out = got[r.doc_id]
+            if not r.copies:
+                assert out.positions is None
+                continue
+            assert len(out.positions) == r.copies and out.positions[0] == out.position
+            for j, t in enumerate(out.positions):
+                assert r.target * (t + r.slope * (t * t - t)) == pytest.approx(r["at"] + j * r.source_size, abs=1e-6)
