@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -135,6 +137,22 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs.limit(0), tests).collect() == [] and decontaminate.matches(docs, tests.limit(0)).collect() == []
 
 
+def test_masks_miss_no_accepted_pattern():
+    for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+        masks = (*decontaminate.MASKS, *getattr(decontaminate, "MORE_MASKS", {}).get(n, ()))
+        for gone in itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n)):
+            assert any(at + m[-1] < n and not any(at + o in gone for o in m) for m in masks for at in range(n)), (n, gone)
+
+
+def test_decontamination_of_dense_substitutions_and_short_items(spark):
+    item = {k: [f"i{k}q{j}" for j in range(n)] for k, n in enumerate((16, 20, 40, 6, 8, 9))}
+    copy = lambda k, gone: " ".join(["before", *["x" if j in gone else w for j, w in enumerate(item[k])], "after"])
+    rows = [(0, copy(0, (3, 7, 11, 15))), (1, copy(1, (3, 7, 11, 15, 19))), (2, copy(2, range(3, 40, 4))), (3, copy(3, ())), (4, copy(4, (2, 5))), (5, copy(5, (4, 8))), (6, copy(0, (1, 3, 7, 11, 15)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in item.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, tests).collect()} == {(k, k) for k in range(6)}
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     text = " ".join(f"q{i}" for i in range(30))
     docs, tests = spark.createDataFrame([(1, "x " + text)], "doc_id long, text string"), spark.createDataFrame([(2, text)], "item_id long, text string")
