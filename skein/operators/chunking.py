@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import strip
+from skein.functions.text import let, strip
 
 DOCUMENT_FIELDS = ("doc_id", "title", "source", "date", "category", "content")
 CHUNK_DEFAULTS = {"company": "", "doc_type": "", "section": "", "primary_topic": "", "secondary_topic": "", "chunk_type": "text", "quality": "medium"}
@@ -41,12 +41,21 @@ def validated(docs: DataFrame) -> DataFrame:
 
 
 def windows(text: Column, config: ChunkingConfig = ChunkingConfig()) -> Column:
-    """Array of overlapping windows of the stripped text, each stripped, without blank ones."""
-    body, step = strip(text), config.size - config.overlap
-    n = F.length(body)
-    count = F.when(n <= config.size, 1).otherwise(F.ceil((n - config.size) / step) + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: strip(F.substring(body, i * step + 1, F.lit(config.size))))
-    return F.filter(F.when(n > 0, cut).otherwise(F.expr("cast(array() as array<string>)")), lambda s: s != "")
+    """Array of overlapping windows of the stripped text, each stripped, without blank ones.
+
+    The text is cut once into pieces of one step; a window is the head of the few pieces from its start on. Cutting each
+    window out of the whole text would count its characters from the beginning every time.
+    """
+    step = config.size - config.overlap
+    span = -(-config.size // step)
+
+    def cut(body: Column, pieces: Column) -> Column:
+        count = F.when(F.length(body) <= config.size, 1).otherwise(F.ceil((F.length(body) - config.size) / step) + 1).cast("int")
+        window = lambda i: strip(F.substring(F.array_join(F.slice(pieces, i, span), ""), F.lit(1), F.lit(config.size)))
+        return F.filter(F.transform(F.sequence(F.lit(1), count), window), lambda s: s != "")
+
+    cuts = lambda body: let(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), lambda pieces: cut(body, pieces))
+    return let(strip(text), lambda body: F.when(body != "", cuts(body)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def chunk_documents(docs: DataFrame, config: ChunkingConfig = ChunkingConfig(), text: str = "content") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cache
 from typing import Protocol
 
 import numpy as np
@@ -23,13 +24,9 @@ class EmbeddingError(RuntimeError):
 def signed_buckets(text: Column, dimension: int = DIMENSION) -> Column:
     """For each token 1 + bucket, negative if its sign is; from the SHA-256 of the token (bytes 1-4 and the parity of byte 5)."""
 
-    def code(token: Column) -> Column:
-        h = F.sha2(token, 256)
-        bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dimension + 1
-        even = F.substring(h, 10, 1).isin("0", "2", "4", "6", "8", "a", "c", "e")
-        return F.when(even, bucket).otherwise(-bucket).cast("int")
-
-    return F.transform(word_tokens(text), code)
+    # The first five bytes as one number, made once for each token: four for the bucket, the last bit for the sign.
+    head = F.transform(word_tokens(text), lambda token: F.conv(F.substring(F.sha2(token, 256), 1, 10), 16, 10).cast("long"))
+    return F.transform(head, lambda x: ((1 - 2 * x.bitwiseAND(F.lit(1))) * (F.shiftright(x, 8) % dimension + 1)).cast("int"))
 
 
 def bucket_sums(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
@@ -167,6 +164,22 @@ def remote_call(url: str, key: str, model: str, timeout: float = 30.0) -> Callab
     return call
 
 
+@cache
+def _sentence_model(name: str):
+    """A sentence-transformer, loaded once for each worker process."""
+    try:
+        from sentence_transformers import SentenceTransformer
+
+        return SentenceTransformer(name)
+    except Exception as e:  # the library or the model isn't there
+        raise EmbeddingError(f"EmbeddingError: {e}") from e
+
+
+def local_call(model: str) -> Callable[[Sequence[str]], list[list[float]]]:
+    """A sentence-transformer on the executors, its vectors of unit length."""
+    return lambda texts: [[float(x) for x in v] for v in _sentence_model(model).encode(list(texts), normalize_embeddings=True)]
+
+
 def embedding_rows(payload: dict) -> list[list[float]]:
     """The vectors of an endpoint's answer; they must be there, and be numbers."""
     data = payload.get("data")
@@ -182,14 +195,14 @@ def embedding_rows(payload: dict) -> list[list[float]]:
 
 
 def model_from_environment(env: dict[str, str] | None = None, dimension: int = DIMENSION) -> EmbeddingModel:
-    """Hashing, unless EMBEDDING_PROVIDER asks for a remote one and its settings are there; that falls back to hashing."""
+    """Hashing, unless EMBEDDING_PROVIDER asks for a local or a remote one (with its settings); these fall back to hashing."""
     env = os.environ if env is None else env
-    hashing = HashingModel(dimension)
-    if env.get("EMBEDDING_PROVIDER", "hashing").lower() not in ("openai", "remote"):
-        return hashing
+    hashing, kind = HashingModel(dimension), env.get("EMBEDDING_PROVIDER", "hashing").lower()
     setting = lambda name, default="": env.get(f"EMBEDDING_{name}") or env.get(f"OPENAI_{name}") or default
-    if not (setting("BASE_URL") and setting("API_KEY")):
-        return hashing
-    n = int(setting("DIMENSION", str(dimension)))
-    remote = BatchModel(remote_call(setting("BASE_URL"), setting("API_KEY"), setting("MODEL")), n, "remote", setting("MODEL"), int(setting("BATCH_SIZE", "32")))
-    return FallbackModel(remote, HashingModel(n))
+    n, batch = int(setting("DIMENSION", str(dimension))), int(setting("BATCH_SIZE", "32"))
+    if kind in ("local", "bge", "sentence-transformers") and setting("MODEL"):
+        return FallbackModel(BatchModel(local_call(setting("MODEL")), n, "local", setting("MODEL"), batch), HashingModel(n))
+    if kind in ("openai", "remote") and setting("BASE_URL") and setting("API_KEY"):
+        remote = remote_call(setting("BASE_URL"), setting("API_KEY"), setting("MODEL"))
+        return FallbackModel(BatchModel(remote, n, "remote", setting("MODEL"), batch), HashingModel(n))
+    return hashing

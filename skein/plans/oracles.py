@@ -317,3 +317,32 @@ def _taxonomy(secondary: bool) -> str:
 
 
 oracle("taxonomy", TOPICAL + ", t AS (SELECT doc_id, section, lower(title) AS low, lower(title || '  ') AS hay FROM topical)", f"SELECT doc_id, {_taxonomy(False)} AS primary_topic, {_taxonomy(True)} AS secondary_topic FROM t")
+
+# Topics and taxonomy over whole texts: title and text are searched, the topic first in the taxonomy.
+_ALL = f"{DOCS}, titled AS (SELECT doc_id, {listed(_TITLES)}[(doc_id % {len(_TITLES)} + 1)::INT] AS title, {listed(rules.SECTIONS)}[((doc_id // {len(_TITLES)}) % 3 + 1)::INT] AS section, content FROM docs)"
+_found = f"""CASE {_case("both_low", rules.PRIORITY_TOPICS)} WHEN section = {q(rules.MDA)} AND regexp_matches(both_low, '\\bvar\\b') THEN 'Value-at-risk' {_case("both_low", rules.TOPIC_RULES)}
+  WHEN section = {q(rules.RISK)} THEN CASE {_case("both_low", rules.RISK_TOPICS)} ELSE 'Risk factor' END ELSE coalesce({_generic}, nullif({_seven}, ''), section) END"""
+_LABELLED = f"{_ALL}, searched AS (SELECT *, lower({_raw} || ' ' || content) AS both_low FROM titled), labelled AS (SELECT doc_id, section, title, content, {_found} AS topic FROM searched)"
+_low = f"(lower(topic) IN ({', '.join(q(t) for t in rules.LOW_VALUE_TOPICS)}) OR {_starts('lower(content)', rules.LOW_VALUE_STARTS)} OR {any_of('lower(content)', rules.LOW_VALUE_CONTAINS)})"
+oracle("topic_of_text", _LABELLED, f"SELECT doc_id, topic, {_low} AS low_value FROM labelled")
+oracle(
+    "taxonomy_of_text", _LABELLED + ", hays AS (SELECT doc_id, section, topic, lower(topic) AS low, lower(topic || ' ' || title || ' ' || content) AS hay FROM labelled)",
+    f"SELECT doc_id, topic, {_taxonomy(False)} AS primary_topic, {_taxonomy(True)} AS secondary_topic FROM hays",
+)
+
+# Texts under a topic of 12 characters, and one more line whose own prefix, the topic in capitals, goes.
+def _unprefixed(x: str) -> str:
+    tail = f"substr({x}, length(topic) + 1)"
+    return f"CASE WHEN lower(substr({x}, 1, length(topic))) = lower(topic) AND regexp_matches({tail}, '^\\s*:') THEN regexp_extract({tail}, '(?s)^\\s*:\\s*(.*)$', 1) ELSE {x} END"
+
+
+_lines = f"array_to_string(list_transform(string_split(x, chr(10)), lambda l: {spaces('l')}), chr(10))"
+_under = "CASE WHEN starts_with(lower(y), lower(topic)) THEN y ELSE topic || ': ' || y END"
+oracle(
+    "topic_prefix",
+    f"""{DOCS}, topics AS (SELECT doc_id, substr(title, 1, 12) AS topic, {strip("substr(title, 1, 12) || ':  ' || title")} AS given, {strip("upper(substr(title, 1, 12)) || ' : x'")} AS line, content AS x FROM docs),
+  first_lines AS (SELECT *, {_lines} AS y FROM topics),
+  joined AS (SELECT doc_id, topic, given, {_under} || chr(10) || {_unprefixed("line")} AS x FROM first_lines),
+  all_lines AS (SELECT *, {_lines} AS y FROM joined)""",
+    f"SELECT doc_id, length({_under})::INT AS n, length({_unprefixed('given')})::INT AS rest FROM all_lines",
+)

@@ -46,11 +46,8 @@ def hash_topk_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best inner products for every hundredth of the stored vectors."""
-    import numpy as np
-
-    e = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").cast("array<double>").alias("v"))
-    matrix = lambda c: np.stack(c.to_pylist()) if len(c) else np.zeros((0, 1))
-    out = retrieval.search_dense(e.where("position % 100 = 0").select(F.col("position").alias("qid"), "v"), e, 10, matrix)
+    e = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").cast("array<double>").alias("vector"))
+    out = retrieval.search_vectors(e.where("position % 100 = 0").withColumnRenamed("position", "qid"), e, 10)
     return out.select("qid", "rank", "position", F.round("embedding_score", 6).alias("score"))
 
 
@@ -404,6 +401,21 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topical(spark, sf_dir).select("doc_id", t["primary_topic"].alias("primary_topic"), t["secondary_topic"].alias("secondary_topic"))
 
 
+@query
+def topic_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by title and whole text, for every section."""
+    t = rules.semantic_topic(F.col("title"), F.col("section"), F.col("text"))
+    return _topical(spark, sf_dir).select("doc_id", t.alias("topic"), rules.low_value(t, F.col("text")).alias("low_value"))
+
+
+@query
+def taxonomy_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary and secondary topics by topic, title and whole text."""
+    both = lambda t: F.struct(t.alias("topic"), rules.taxonomy(t, F.col("title"), F.col("text"), F.col("section")).alias("x"))
+    rows = _topical(spark, sf_dir).select("doc_id", T.let(rules.semantic_topic(F.col("title"), F.col("section"), F.col("text")), both).alias("t"))
+    return rows.select("doc_id", "t.topic", "t.x.primary_topic", "t.x.secondary_topic")
+
+
 @query
 def quality_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topical(spark, sf_dir).select("doc_id", rules.quality_label(F.col("kind"), F.col("text")).alias("quality"))

@@ -9,13 +9,18 @@ from skein.functions.rules import SECTIONS
 from skein.functions.text import strip
 from skein.operators.chunking import chunk_documents, embedding_text
 from skein.operators.embedding import signed_buckets
+from skein.storage import read_table
 
 TOPICS = ("regulatory_risk", "financial_risk", "business_segment", "company_overview", "competition", "performance_analysis", "operational_risk", "business_structure")
 DATE = "2024-01-01"
 
 
+#: The column by which the rows of a small table are dealt to the cores.
+KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", KEYS.get(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

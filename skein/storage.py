@@ -50,6 +50,23 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+SMALL_SPLIT = 32 << 20
+
+
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A Parquet table. A small one in fewer files than there are cores is dealt to all of them by ``key``.
+
+    Such a file often is one row group, which one task would read and work through alone. Larger tables, and those of
+    many files, are read as they lie.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if key is None or size > SMALL_SPLIT * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 

@@ -321,3 +321,32 @@ def test_topic_queries_read_whole_texts(spark, tmp_path):
     assert (out.primary_topic, out.secondary_topic) == (one.primary_topic, one.secondary_topic)
     cut = t.select(rules.taxonomy(t.title, F.lit(""), F.lit(""), t.section).alias("t")).first().t
     assert (cut.primary_topic, cut.secondary_topic) != (one.primary_topic, one.secondary_topic)
+
+
+def test_search_both_ways_with_few_or_negative_matches(spark):
+    rows = [(i, t, "", "", "high") for i, t in enumerate(["alpha beta", "gamma", "", "delta epsilon zeta", "alpha", *[f"w{i}" for i in range(40)]])]
+    chunks = chunk_rows(spark, rows).withColumn("codes", embedding.signed_buckets(F.col("text"), 16))
+    questions = asked(spark, "alpha", "...", "nothing of these", "w3 w4 w5").withColumn("codes", embedding.signed_buckets(F.col("question"), 16))
+    ask = lambda: [tuple(r) for r in retrieval.search(questions, chunks, 20, 16).select("qid", "rank", "position", "embedding_score").orderBy("qid", "rank").collect()]
+    dense = ask()
+    assert len(dense) == 80
+    for most in (0, 1, 3):
+        old, retrieval.MOST_QUESTIONS = retrieval.MOST_QUESTIONS, most
+        try:
+            assert ask() == dense
+        finally:
+            retrieval.MOST_QUESTIONS = old
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(500, 80), (10, 0), (10, 9), (7, 4), (1, 0)])
+def test_windows_match_slices(spark, size, overlap):
+    config = chunking.ChunkingConfig(size, overlap)
+    texts = ["", " \t", "a", "x" * size, "x" * (size + 1), "ab  c\n" * 300, "  é𝄞 词" * 200 + " ", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", chunking.windows(F.col("t"), config).alias("w")).collect()
+    for r in got:
+        body, want = (texts[r.n] or "").strip(), []
+        for at in range(0, len(body), size - overlap):
+            want.append(body[at : at + size].strip())
+            if at + size >= len(body):
+                break
+        assert r.w == [w for w in want if w], r.n
