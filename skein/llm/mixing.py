@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.storage import Scratch
+
 CAP = 3
 BUCKET_HEX = 3  # 4096 buckets
 SLOPE = 0.5
@@ -77,6 +79,7 @@ def lay(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_i
     rows = docs.select(
         F.col(key).alias("doc_id"), words(F.col(text)).alias("size"), _source(F.col(source)).alias("sk"), place.alias("place"), F.substring(place, 1, BUCKET_HEX).alias("bucket")
     )
+    rows = Scratch(docs.sparkSession).save(rows, "sizes")  # texts are read once; sums, ranks and the final sort read these
     sums = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("n"))
     per = targets(sums.groupBy("sk").agg(F.sum("n").alias("source_size")), cap, slope)
     start = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,4 +128,4 @@ def copies(docs: DataFrame, cap: int = CAP, key: str = "doc_id", text: str = "te
     here = F.concat(_place(F.col(key)), F.lpad(F.coalesce(F.col(key).cast("string"), F.lit("")), 20, " "))
     n = F.col("__rounds") + F.when(here <= F.col("__last"), 1).otherwise(0)
     rows = docs.withColumn("__sk", _source(F.col(source))).join(F.broadcast(per) if small else per, "__sk")
-    return rows.where((words(F.col(text)) > 0) & (n > 0)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("__copy")).drop("__copy")
+    return rows.where(F.col(text).rlike(WORD) & (n > 0)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("__copy")).drop("__copy")
