@@ -47,4 +47,26 @@ _JOIN = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate
   reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.y) AS component_id FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.x = d.doc_id GROUP BY 1, 2"""
 
-ORACLES = {"op2_ngram_join": _JOIN, "op7_secret_ledger": _SECRETS, "op10_mix_curriculum": _MIX}
+_PASSAGES = f"""WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+  starts AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM words WHERE len(w) >= 50),
+  stretches AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 50], ' ') AS s FROM starts),
+  shared AS (SELECT s, min(doc_id) AS a, max(doc_id) AS z FROM stretches GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+  places AS (SELECT doc_id, i, min(a) AS a, max(z) AS z FROM stretches JOIN shared USING (s) GROUP BY 1, 2),
+  marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM places),
+  parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM marked),
+  merged AS (SELECT doc_id, min(i) AS i, max(i) + 50 AS j, min(a) AS a, max(z) AS z FROM parts GROUP BY doc_id, part)
+SELECT doc_id, i::INT AS start_word, j::INT AS end_word, (j - i)::INT AS n_words, CASE WHEN a <> doc_id THEN a ELSE z END AS other_doc FROM merged"""
+
+_CUT = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+
+#: Every alignment of a document and an item that agrees anywhere, without seeds.
+_LEAKS = f"""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '{_CUT}') AS w FROM documents WHERE text IS NOT NULL),
+  t AS (SELECT item_id, string_split_regex(lower(text), '{_CUT}') AS w FROM benchmark WHERE text IS NOT NULL),
+  dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+  tw AS (SELECT item_id, least(16, len(w)) AS n_window, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM t WHERE len(w) >= 6),
+  agreeing AS (SELECT doc_id, item_id, n_window, i - j AS lag, i FROM dw JOIN tw USING (word)),
+  near AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, lag ORDER BY i RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS n_equal FROM agreeing),
+  best AS (SELECT *, greatest(lag, 0) AS doc_at, greatest(-lag, 0) AS item_at, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, greatest(lag, 0), greatest(-lag, 0)) AS r FROM near WHERE n_equal >= ceil(0.75 * n_window))
+SELECT doc_id, item_id, n_equal::INT AS n_equal, n_window::INT AS n_window, doc_at::INT AS doc_at, item_at::INT AS item_at FROM best WHERE r = 1"""
+
+ORACLES = {"op1_suffix_dedup": _PASSAGES, "op5_decontaminate": _LEAKS, "op2_ngram_join": _JOIN, "op7_secret_ledger": _SECRETS, "op10_mix_curriculum": _MIX}

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from skein.llm import ann, decontaminate, language_id, mixing, ngram_join, pii, samples, secret_scan, sharding, suffix_dedup, toxicity
 from skein.llm.oracles import ORACLES  # noqa: F401
+from skein.storage import read_table
 
 SHARDS = 24
 
 
+#: The column by which the rows of a small table are dealt to the cores.
+KEYS = {"documents": "doc_id", "embeddings": "vec_id"}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", KEYS.get(name))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("positions")  # the operator's; the digest has the first of them
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op4_ann_tree, op5_decontaminate, op6_pii_lstm, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum)}
