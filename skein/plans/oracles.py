@@ -330,7 +330,7 @@ oracle(
     f"SELECT doc_id, topic, {_taxonomy(False)} AS primary_topic, {_taxonomy(True)} AS secondary_topic FROM hays",
 )
 
-# Texts under a topic of 12 characters, and one more line whose own prefix, the topic in capitals, goes.
+# Texts under a topic of 12 characters, and one more line whose own prefix, the topic in capitals, goes. Capitals of ß are SS (DuckDB's upper() gives one letter).
 def _unprefixed(x: str) -> str:
     tail = f"substr({x}, length(topic) + 1)"
     return f"CASE WHEN lower(substr({x}, 1, length(topic))) = lower(topic) AND regexp_matches({tail}, '^\\s*:') THEN regexp_extract({tail}, '(?s)^\\s*:\\s*(.*)$', 1) ELSE {x} END"
@@ -340,7 +340,7 @@ _lines = f"array_to_string(list_transform(string_split(x, chr(10)), lambda l: {s
 _under = "CASE WHEN starts_with(lower(y), lower(topic)) THEN y ELSE topic || ': ' || y END"
 oracle(
     "topic_prefix",
-    f"""{DOCS}, topics AS (SELECT doc_id, substr(title, 1, 12) AS topic, {strip("substr(title, 1, 12) || ':  ' || title")} AS given, {strip("upper(substr(title, 1, 12)) || ' : x'")} AS line, content AS x FROM docs),
+    f"""{DOCS}, topics AS (SELECT doc_id, substr(title, 1, 12) AS topic, {strip("substr(title, 1, 12) || ':  ' || title")} AS given, {strip("upper(replace(substr(title, 1, 12), 'ß', 'ss')) || ' : x'")} AS line, content AS x FROM docs),
   first_lines AS (SELECT *, {_lines} AS y FROM topics),
   joined AS (SELECT doc_id, topic, given, {_under} || chr(10) || {_unprefixed("line")} AS x FROM first_lines),
   all_lines AS (SELECT *, {_lines} AS y FROM joined)""",
