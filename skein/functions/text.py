@@ -16,6 +16,11 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def kept(keep: Callable[[Column], Column], *columns: Column) -> Column:
+    """A generator of ``columns`` where ``keep`` of their struct holds: each is evaluated once, as a filter after them would be pushed below and repeat them."""
+    return F.inline(F.filter(F.array(F.struct(*columns)), keep))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends (trim() takes blanks only)."""
     return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")

@@ -21,17 +21,24 @@ class EmbeddingError(RuntimeError):
     """An embedding backend that isn't there or failed; the only error that falls back."""
 
 
+def _head(token: Column) -> Column:
+    """The first five bytes of a token's SHA-256 as one number."""
+    return F.conv(F.substring(F.sha2(token, 256), 1, 10), 16, 10).cast("long")
+
+
+def _signed(head: Column, dimension: int) -> Column:
+    """1 + bucket by the first four bytes, negative if the fifth is odd."""
+    return ((1 - 2 * head.bitwiseAND(F.lit(1))) * (F.shiftright(head, 8) % dimension + 1)).cast("int")
+
+
 def signed_buckets(text: Column, dimension: int = DIMENSION) -> Column:
     """For each token 1 + bucket, negative if its sign is; from the SHA-256 of the token (bytes 1-4 and the parity of byte 5)."""
-
-    # The first five bytes as one number, made once for each token: four for the bucket, the last bit for the sign.
-    head = F.transform(word_tokens(text), lambda token: F.conv(F.substring(F.sha2(token, 256), 1, 10), 16, 10).cast("long"))
-    return F.transform(head, lambda x: ((1 - 2 * x.bitwiseAND(F.lit(1))) * (F.shiftright(x, 8) % dimension + 1)).cast("int"))
+    return F.transform(F.transform(word_tokens(text), _head), lambda x: _signed(x, dimension))
 
 
 def bucket_sums(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """(key, bucket, value) of the unnormalised vectors, zeros included where signs cancel."""
-    each = rows.select(key, F.explode(signed_buckets(F.col(text), dimension)).alias("c"))
+    """(key, bucket, value) of the unnormalised vectors, zeros included where signs cancel. Tokens are exploded first, so they are hashed in generated code."""
+    each = rows.select(key, F.explode(word_tokens(F.col(text))).alias("token")).select(key, _signed(_head(F.col("token")), dimension).alias("c"))
     return each.groupBy(key, (F.abs("c") - 1).alias("bucket")).agg(F.sum(F.signum("c")).cast("long").alias("value"))
 
 

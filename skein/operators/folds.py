@@ -1,0 +1,43 @@
+"""Folds over ordered rows of a group, as a stream through sorted partitions."""
+
+from __future__ import annotations
+
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructType
+
+from skein.storage import ship_package
+
+MOST = 2000  # rows of an output batch, about
+
+
+def ordered_fold(rows: DataFrame, keys: tuple[str, ...], order: tuple[str | Column, ...], fold: Callable[[Iterator], Iterable[tuple]], schema: str) -> DataFrame:
+    """``fold`` of the rows (named tuples) of each group in ``order``; its tuples are rows of ``schema``.
+
+    Groups follow each other in sorted partitions, so a task starts once, not for each group, and holds what the fold
+    itself keeps.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship_package(rows.sparkSession)
+    out, rest = to_arrow_schema(StructType.fromDDL(schema)), [c for c in rows.columns if c not in keys]
+    names, n = [*keys, *rest], len(keys)
+
+    def run(batches):
+        kind = namedtuple("Row", names, rename=True)
+        stream = (kind(*r) for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        made = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+        for _, group in groupby(stream, key=lambda r: r[:n]):
+            made += fold(group)
+            if len(made) >= MOST:
+                yield pack()
+                made = []
+        if made:
+            yield pack()
+
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from skein.functions import rules
 from skein.functions import text as T
 from skein.operators import answering, chunking, embedding, evaluation, filing, retrieval, sampling
 from skein.plans import tables
+from skein.storage import Scratch
 
 QUERIES = {}
 
@@ -193,7 +194,8 @@ def parse_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatted answers parsed again and checked against their context."""
-    a, context = _answers(spark, sf_dir), _context(spark, sf_dir)
+    found = Scratch(spark).save(_retrieved(spark, sf_dir), "retrieved")  # a few chunks of each question, for the answers and for their check
+    a, context = answering.answer(tables.questions(spark, sf_dir), found), answering.select_context(found)
     raw = a.select("qid", answering.formatted(F.col("answer"), F.col("sources"), F.col("evidence")).alias("raw"))
     return answering.grounded(raw, context).select("qid", F.length("answer").alias("n_answer"), F.size("sources").alias("sources"), F.size("evidence").alias("evidence"))
 
@@ -313,9 +315,9 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = F.array(*[F.lit(s) for s in rules.SECTIONS])
     return d.select(
         F.col("doc_id").alias("doc"), F.get(sections, (F.col("doc_id") % 3).cast("int")).alias("section"), "ordinal",
-        T.normalize_spaces(F.when(F.col("ordinal") % 9 == 3, F.concat(F.lit("Item "), F.col("ordinal").cast("string"), F.lit(". Part."))).otherwise(F.col("text"))).alias("text"),
+        T.kept(lambda c: c["text"] != "", T.normalize_spaces(F.when(F.col("ordinal") % 9 == 3, F.concat(F.lit("Item "), F.col("ordinal").cast("string"), F.lit(". Part."))).otherwise(F.col("text"))).alias("text")),
         (F.floor(F.col("ordinal") / 10) % 3 == 1).alias("in_table"),
-    ).where("text <> ''")
+    )
 
 
 @query
