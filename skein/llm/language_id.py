@@ -37,18 +37,20 @@ LANDMARKS = 24  # of each language
 RIDGE = 1e-2
 UND = "und"
 
-FOLD = np.full(256, 32, np.uint8)
-FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
-FOLD[128:] = np.arange(128, 256)
+#: Folded bytes as numbers without gaps, so that tables by n-gram are small: 0 a space, then letters, then bytes beyond ASCII.
+FOLD = np.zeros(256, np.uint8)
+FOLD[97:123] = FOLD[65:91] = np.arange(1, 27)
+FOLD[128:] = np.arange(27, 155)
+SYMBOLS = 155
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
 
 def codes(data: np.ndarray, n: int) -> np.ndarray:
-    """The n-gram from each byte on, as a number; n - 1 fewer than bytes."""
+    """The n-gram from each folded byte on, as a number; n - 1 fewer than bytes."""
     out = data.astype(np.int32)
     for _ in range(n - 1):
-        out = (out[:-1] << 8) | data[len(data) - len(out) + 1 :]
+        out = out[:-1] * SYMBOLS + data[len(data) - len(out) + 1 :]
     return out
 
 
@@ -59,7 +61,7 @@ class Spectrum:
         self.known = known
         self.table = []
         for n, k in zip(NGRAMS, known, strict=True):
-            t = np.full(1 << (8 * n), -1, np.int32)
+            t = np.full(SYMBOLS**n, -1, np.int32)
             t[k] = np.arange(len(k))
             self.table.append(t)
 

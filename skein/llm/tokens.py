@@ -13,28 +13,30 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20  # bytes of text handled at once; a longer text is a block of its own
+BLOCK = 1 << 18  # bytes of text handled at once; a longer text is a block of its own
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 2 * BLOCK)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.ones(n, np.uint64)
-            step, known = base, 1
-            while known < n:  # doubles what is known
-                m = min(known, n - known)
-                with np.errstate(over="ignore"):
-                    p[known : known + m] = p[:m] * np.uint64(step)
-                known, step = known + m, step * step & _MASK
-            out.append(p)
+    """Powers of the base and of its inverse, n at least. Those for usual blocks are kept, longer ones are made for their text."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, 2 * BLOCK)
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.ones(size, np.uint64)
+        step, known = base, 1
+        while known < size:  # doubles what is known
+            m = min(known, size - known)
+            with np.errstate(over="ignore"):
+                p[known : known + m] = p[:m] * np.uint64(step)
+            known, step = known + m, step * step & _MASK
+        out.append(p)
+    if size == 2 * BLOCK:
         _powers[:] = out
-    return _powers[0], _powers[1]
+    return out[0], out[1]
 
 
 BYTE_VALUE = np.random.default_rng(20240117).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
