@@ -350,3 +350,38 @@ def test_windows_match_slices(spark, size, overlap):
             if at + size >= len(body):
                 break
         assert r.w == [w for w in want if w], r.n
+
+
+def test_small_tables_in_few_files_are_dealt_to_all_cores(spark, tmp_path):
+    from skein.storage import read_table
+
+    rows = spark.range(100).withColumn("text", F.lit("x"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows.repartition(6).write.parquet(f"{tmp_path}/six")
+    rows.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none")
+    parts = lambda df: {r.p for r in df.select(F.spark_partition_id().alias("p")).collect()}
+    one = read_table(spark, f"{tmp_path}/one", "id")
+    assert len(parts(one)) > 4 and sorted(r.id for r in one.collect()) == list(range(100))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan(one)
+    scan = one.select("id").where("id > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in scan and "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in scan
+    assert "Repartition" not in plan(read_table(spark, f"{tmp_path}/six", "id")) and "Repartition" not in plan(read_table(spark, f"{tmp_path}/one"))
+    assert read_table(spark, f"{tmp_path}/none", "id").collect() == []
+
+
+def test_ordered_fold_sees_each_group_once_and_in_order(spark):
+    from skein.operators.folds import ordered_fold
+
+    rows = [(k, n) for n in range(300) for k in ("a", "b", None, "c")] + [("d", 5)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(5)
+
+    def fold(group):
+        got = [(r.k, r.n) for r in group]
+        return [(got[0][0], len(got), [n for _, n in got] == sorted(n for _, n in got))]
+
+    got = ordered_fold(df, ("k",), ("n",), fold, "k string, size int, sorted boolean").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 300, True), ("b", 300, True), (None, 300, True), ("c", 300, True), ("d", 1, True)], key=str)
+    skip = ordered_fold(df, ("k",), (F.col("n").desc(),), lambda g: [(r.n,) for i, r in enumerate(g) if i == 0 and r.k == "a"], "n int").collect()
+    assert [r.n for r in skip] == [299]
+    assert ordered_fold(df.limit(0), ("k",), ("n",), fold, "k string, size int, sorted boolean").collect() == []
