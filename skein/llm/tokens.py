@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 18  # bytes of text handled at once; a longer text is a block of its own
+KEPT = 1 << 21  # bytes for which powers are kept
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least. Those for usual blocks are kept, longer ones are made for their text."""
+    """Powers of the base and of its inverse, n at least. Those of ``KEPT`` at most are kept, longer ones are made for their text."""
     if _powers and len(_powers[0]) >= n:
         return _powers[0], _powers[1]
     size = max(n, 2 * BLOCK)
@@ -34,7 +35,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 p[known : known + m] = p[:m] * np.uint64(step)
             known, step = known + m, step * step & _MASK
         out.append(p)
-    if size == 2 * BLOCK:
+    if size <= KEPT:
         _powers[:] = out
     return out[0], out[1]
 

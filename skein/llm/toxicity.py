@@ -37,6 +37,7 @@ MOST = 1500  # documents of each label that are learnt from, at most
 FIELD_DOCS = 400  # of each label that the field itself is fitted to
 PREFIXES = (6, 4)
 TAG = 0.5
+CHAIN = 1 << 20  # bytes of the texts whose messages run together: a step for each word of the longest, so more texts at once cost less
 THRESHOLD = 0.3
 
 
@@ -213,7 +214,7 @@ def tag(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         model = shared.value
         for batch in batches:
             scores, hits, spans = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for lo, hi, data, offs in tokens.blocks(batch.column("__text")):
+            for lo, hi, data, offs in tokens.blocks(batch.column("__text"), CHAIN):
                 w = tokens.Words(data, offs, tokens.ALNUM)
                 p = model.marginals(model.evidence(features(w)), w.bounds)
                 scores[lo:hi] = model.score(p, w.bounds)
