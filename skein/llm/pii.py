@@ -5,7 +5,7 @@ the base: leftmost matches of each kind, failing ones dropped. The tagger is a
 bidirectional LSTM over characters whose outputs, with transition scores, form a
 linear-chain CRF over the tags none, email, ip, card and phone. It is trained in
 numpy, by back-propagation of the CRF's likelihood, from labelled spans: the base
-spans of at most ``DOCS`` documents (by a hash of doc_id) and generated ones, some
+spans of about ``DOCS`` documents (by a hash of doc_id) and generated ones, some
 of them written as the rules don't see them (no plus, dots in card numbers, blanks
 around an at sign), with numbers that aren't personal among them.
 
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm import tokens
+from skein.llm import samples, tokens
 from skein.storage import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -335,8 +335,10 @@ def examples(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, most: int = DOCS, key: str = "doc_id", text: str = "text") -> Tagger:
     """A tagger from the base spans of a bounded sample of documents that hold a digit or an at sign, and generated spans."""
     some = docs.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= 20_000)).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    got = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toPandas()
-    return Tagger().fit(*examples(list(got["text"])))
+    # Ids are chosen first, by salt; a sorted limit would send each task's share of texts to the driver.
+    chosen = samples.per_class(some.select("doc_id", F.lit(0).alias("all")), "all", most).select("doc_id").distinct()
+    got = some.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return Tagger().fit(*examples(list(got.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()["text"])))
 
 
 def find(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
