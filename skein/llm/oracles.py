@@ -69,4 +69,26 @@ _LEAKS = f"""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '{_CUT}')
   best AS (SELECT *, greatest(lag, 0) AS doc_at, greatest(-lag, 0) AS item_at, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, greatest(lag, 0), greatest(-lag, 0)) AS r FROM near WHERE n_equal >= ceil(0.75 * n_window))
 SELECT doc_id, item_id, n_equal::INT AS n_equal, n_window::INT AS n_window, doc_at::INT AS doc_at, item_at::INT AS item_at FROM best WHERE r = 1"""
 
-ORACLES = {"op1_suffix_dedup": _PASSAGES, "op5_decontaminate": _LEAKS, "op2_ngram_join": _JOIN, "op7_secret_ledger": _SECRETS, "op10_mix_curriculum": _MIX}
+
+#: Checksums by a recursive query over the distinct texts: eight shifts for each character.
+_SESSIONS = """WITH RECURSIVE turns AS (SELECT conv_id, turn FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+  texts AS (SELECT DISTINCT conv_id::VARCHAR AS t FROM turns UNION SELECT DISTINCT conv_id::VARCHAR || ':' || turn::VARCHAR FROM turns),
+  sums AS (SELECT t, 0 AS i, 4294967295::BIGINT AS v FROM texts
+    UNION ALL SELECT t, i + 1, CASE WHEN i % 9 = 0 THEN xor(v, ascii(substr(t, i // 9 + 1, 1))::BIGINT) WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM sums WHERE i < 9 * length(t)),
+  crc AS (SELECT t, xor(v, 4294967295::BIGINT) AS crc FROM sums WHERE i = 9 * length(t)),
+  timed AS (SELECT 2 * floor(conv_id / 8)::BIGINT + a.crc % 2 AS usr, (a.crc // 2) % 7200 + 300 * turn + b.crc % 600 AS s, b.crc // 600 AS g, b.crc AS h
+    FROM turns JOIN crc a ON a.t = conv_id::VARCHAR JOIN crc b ON b.t = conv_id::VARCHAR || ':' || turn::VARCHAR),
+  ev AS (SELECT usr, s, h, floor(s / 3600)::BIGINT + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS batch FROM timed),
+  batches AS (SELECT DISTINCT batch AS now FROM ev),
+  known AS (SELECT now, ev.*, CASE WHEN s - lag(s) OVER (PARTITION BY now, usr ORDER BY s) <= 420 THEN 0 ELSE 1 END AS new FROM batches JOIN ev ON batch <= now),
+  parts AS (SELECT *, sum(new) OVER (PARTITION BY now, usr ORDER BY s) AS part FROM known),
+  state AS (SELECT now, usr, min(s) AS start_s, max(s) AS end_s, count(*) AS n_events, count(*) FILTER (WHERE batch = now) AS n_new, sum(h)::BIGINT AS h_sum FROM parts GROUP BY now, usr, part),
+  version AS (SELECT * FROM state WHERE n_new > 0),
+  earlier AS (SELECT a.now, max(b.now) AS before FROM batches a JOIN batches b ON b.now < a.now GROUP BY 1),
+  contained AS (SELECT v.usr, v.now, v.start_s, count(*) AS n FROM version v JOIN earlier e ON e.now = v.now JOIN state p ON p.now = e.before AND p.usr = v.usr AND p.start_s BETWEEN v.start_s AND v.end_s GROUP BY 1, 2, 3),
+  gone AS (SELECT v.usr, v.now, v.start_s, min(w.now) AS later FROM version v JOIN version w ON w.usr = v.usr AND w.now > v.now AND v.start_s BETWEEN w.start_s AND w.end_s GROUP BY 1, 2, 3),
+  by_whom AS (SELECT g.usr, g.now, g.start_s, g.later, w.start_s AS later_start FROM gone g JOIN version w ON w.usr = g.usr AND w.now = g.later AND g.start_s BETWEEN w.start_s AND w.end_s)
+SELECT v.usr AS "user", v.now AS batch, v.start_s, v.end_s, v.n_events, v.n_new, coalesce(c.n, 0) AS n_retracted, v.h_sum, b.later AS retracted_batch, b.later_start AS retracted_start_s
+FROM version v LEFT JOIN contained c USING (usr, now, start_s) LEFT JOIN by_whom b USING (usr, now, start_s)"""
+
+ORACLES = {"op1_suffix_dedup": _PASSAGES, "op5_decontaminate": _LEAKS, "op2_ngram_join": _JOIN, "op7_secret_ledger": _SECRETS, "op10_mix_curriculum": _MIX, "op13_late_sessions": _SESSIONS}
