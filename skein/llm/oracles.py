@@ -91,4 +91,19 @@ _SESSIONS = """WITH RECURSIVE turns AS (SELECT conv_id, turn FROM conversations
 SELECT v.usr AS "user", v.now AS batch, v.start_s, v.end_s, v.n_events, v.n_new, coalesce(c.n, 0) AS n_retracted, v.h_sum, b.later AS retracted_batch, b.later_start AS retracted_start_s
 FROM version v LEFT JOIN contained c USING (usr, now, start_s) LEFT JOIN by_whom b USING (usr, now, start_s)"""
 
-ORACLES = {"op1_suffix_dedup": _PASSAGES, "op5_decontaminate": _LEAKS, "op2_ngram_join": _JOIN, "op7_secret_ledger": _SECRETS, "op10_mix_curriculum": _MIX, "op13_late_sessions": _SESSIONS}
+_ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}')"
+
+_SEARCH = f"""WITH held AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+  docs AS (SELECT r, doc_id, terms, len(terms) AS n FROM held WHERE len(terms) > 0),
+  totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM docs),
+  occurs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY 1, 2),
+  weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM occurs, totals GROUP BY term, n_docs),
+  measured AS (SELECT r, doc_id, 10 + (90 * n * n_docs) // n_all AS m FROM docs, totals),
+  asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+  scored AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM asked JOIN weighed USING (term) JOIN occurs USING (term) JOIN measured USING (r) GROUP BY 1, 2, 3),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLES = {"op1_suffix_dedup": _PASSAGES, "op5_decontaminate": _LEAKS, "op2_ngram_join": _JOIN, "op7_secret_ledger": _SECRETS, "op10_mix_curriculum": _MIX, "op11_lexical_search": _SEARCH, "op13_late_sessions": _SESSIONS}
