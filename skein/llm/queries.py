@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, decontaminate, language_id, late_sessions, lexical_search, mixing, ngram_join, pii, samples, secret_scan, sharding, suffix_dedup, toxicity
+from skein.llm import ann, context_mixing, decontaminate, language_id, late_sessions, lexical_search, mixing, ngram_join, pii, samples, secret_scan, sharding, suffix_dedup, toxicity
 from skein.llm.oracles import ORACLES  # noqa: F401
 from skein.storage import read_table
 
@@ -71,8 +71,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return context_mixing.score(docs, context_mixing.train(docs))
+
+
 def op13_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late_sessions.merge(late_sessions.conversation_events(_read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op4_ann_tree, op5_decontaminate, op6_pii_lstm, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum, op11_lexical_search, op13_late_sessions)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_join, op3_shard_ring, op4_ann_tree, op5_decontaminate, op6_pii_lstm, op7_secret_ledger, op8_toxicity_crf, op9_language_kernel, op10_mix_curriculum, op11_lexical_search, op12_context_mixing, op13_late_sessions)}
