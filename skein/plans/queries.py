@@ -37,10 +37,8 @@ def hash_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hash_topk_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the join of postings, for any number of questions."""
-    q, c = tables.questions(spark, sf_dir), tables.indexed(spark, sf_dir)
-    sums = lambda df, key, col: retrieval.unit_buckets(embedding.bucket_sums(df, key, col), key)
-    out = retrieval.search_postings(sums(q, "qid", "question"), sums(c.withColumn("t", chunking.embedding_text()), "position", "t"), 4)
+    """The same on the grid of blocks, as for any number of questions."""
+    out = retrieval.search_grid(tables.questions(spark, sf_dir), tables.indexed(spark, sf_dir), 4)
     return out.select("qid", "rank", "position", F.round("embedding_score", 6).alias("embedding_score"))
 
 
