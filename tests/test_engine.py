@@ -225,40 +225,54 @@ def test_html_blocks(spark):
     assert got == {1: [("One", False), ("two x", False), ("c1", True), ("c2", True), ("shown", False), ("end", False)], 2: [("A&B C", False)]}
 
 
-def test_section_fold():
-    long = "word " * 100  # 500 characters
-    fold = filing.SectionFold(rules.RISK)
-    for clean, table in [("p1", False), *[(f"c{i % 9}", True) for i in range(10)], (long, False), (long, False), (long, False)]:
-        fold.add(clean, table, False, False, False)
-    fold.add("Risky.", False, False, False, True)
-    fold.add("cell", True, False, False, False)
-    fold.end_text()
-    kinds = [(k, t, len(p)) for k, t, _, p, _ in fold.out]
-    assert kinds == [("table_summary", rules.RISK, 10), ("text", rules.RISK, 3), ("text", rules.RISK, 1), ("text", "Risky.", 1)]
-    fold = filing.SectionFold(rules.BUSINESS)
-    fold.add("Overview", False, False, False, True)
-    for p in "abc":
-        fold.add(p, False, False, False, False)
-    fold.end_text()
-    assert [(t, f, p) for _, t, f, p, _ in fold.out] == [("Overview", "Firm business overview", ["a"]), ("Subsidiaries and structure", "Subsidiaries and operating structure", ["b", "c"])]
-
-
-def test_cells():
-    assert filing.compact_cells([("a", False), ("a", False), ("x", True), ("a", False), ("$", False), ("b", False), ("a", False), ("l" * 200, False)]) == ["a", "b", "a", "l" * 177 + "..."]
-    shown = filing.shown_cells(["x" * 100] * 40)
+def _sectioned(spark, section, rows):
+    """Chunks of blocks (clean, in_table, heading) of one section."""
+    df = spark.createDataFrame([("d", section, i, c, t, c, False, False, h) for i, (c, t, h) in enumerate(rows)], "doc string, section string, ordinal int, text string, in_table boolean, clean string, skip boolean, skip_clean boolean, heading boolean")
+    return filing.section_chunks(df).orderBy("number").collect()
+
+
+def test_section_fold(spark):
+    long = "word " * 99 + "word."  # 500 characters
+    rows = [("p1", False, False), *[(f"c{i % 9}", True, False) for i in range(10)], *[(long, False, False)] * 3, ("Risky " + "risk " * 20 + ".", False, True), ("cell", True, False)]
+    got = [(r.kind, r.title, r.text.count("\n") + 1) for r in _sectioned(spark, rules.RISK, rows)]
+    assert got == [("table_summary", rules.RISK, 1), ("text", rules.RISK, 3), ("text", rules.RISK, 1), ("text", "Risky " + "risk " * 20, 1)]
+    words = " and more words of it" * 5
+    got = _sectioned(spark, rules.BUSINESS, [("Overview", False, True), *[(p + words, False, False) for p in "abc"]])
+    assert [(r.title, r.topic, r.text) for r in got] == [
+        ("Overview", "Firm business overview", f"Firm business overview: a{words}"),
+        ("Subsidiaries and structure", "Subsidiaries and operating structure", f"Subsidiaries and operating structure: b{words}\nc{words}"),
+    ]
+
+
+def _value(spark, column, schema, *row):
+    return spark.createDataFrame([row], schema).select(column.alias("v")).first().v
+
+
+def test_cells(spark):
+    cells = [("a", False), ("a", False), ("x", True), ("a", False), ("$", False), ("b", False), ("a", False), ("l" * 200, False)]
+    kind = "c array<struct<clean:string,skip_clean:boolean>>"
+    assert _value(spark, filing.compact_cells(F.col("c")), kind, cells) == ["a", "b", "a", "l" * 177 + "..."]
+    cut = "l" * 177 + "..."  # a long cell isn't equal to its shortened form, but what is equal to that repeats it
+    assert _value(spark, filing.compact_cells(F.col("c")), kind, [("l" * 200, False), ("l" * 200, False), (cut, False), (cut, False)]) == [cut, cut]
+    shown = _value(spark, filing.shown_cells(F.col("c")), "c array<string>", ["x" * 100] * 40)
     assert len("; ".join(shown)) <= 1080 < len("; ".join([*shown, "x" * 100]))
-    assert len(filing.shown_cells(["x"] * 50)) == 35
+    assert len(_value(spark, filing.shown_cells(F.col("c")), "c array<string>", ["x"] * 50)) == 35
 
 
-def test_split_and_merge():
+def test_split_and_merge(spark):
     units = [f"Sentence number {i} " + "x" * 200 + "." for i in range(12)]
-    parts = filing.split_text(" ".join(units), units, "Topic")
+    split = filing.split_text(F.col("t"), F.col("u"), F.lit("Topic"))
+    parts = _value(spark, split, "t string, u array<string>", " ".join(units), units)
     assert all(p.startswith("Topic: ") for p in parts) and max(map(len, parts)) <= 1200 + 10
     assert "".join(parts).count("Sentence number") == 12
-    assert filing.split_text("short", [], "T") == ["short"]
-    c = lambda text, topic="T", kind="text": {"section": "S", "topic": topic, "kind": kind, "text": text}
-    merged = filing.merge_tiny([c("T: a"), c("T: " + "b" * 400), c("T: c"), c("U: lost", "U"), c("t", "T", "table_summary"), c("T: alone")])
-    assert [m["text"] for m in merged] == ["T: a\n" + "b" * 400 + "\nc", "t"]
+    assert _value(spark, split, "t string, u array<string>", "short", []) == ["short"]
+    alone = _value(spark, split, "t string, u array<string>", "x" * 1600, ["a", "y" * 1600, "b", "c"])
+    assert [len(p) for p in alone] == [8, 1607, 10]  # a sentence over the hard size is a part alone
+    c = lambda text, topic="T", kind="text": ("S", kind, "title", topic, text)
+    rows = [c("T: a"), c("T: " + "b" * 400), c("T: c"), c("U: lost", "U"), c("t", "T", "table_summary"), c("T: alone")]
+    merged = _value(spark, filing.merge_tiny(F.col("p")), f"p array<{filing._PART}>", rows)
+    assert [m.text for m in merged] == ["T: a\n" + "b" * 400 + "\nc", "t"]
+    assert _value(spark, filing.merge_tiny(F.col("p")), f"p array<{filing._PART}>", []) == []
 
 
 def test_filing_end_to_end(spark):
@@ -368,20 +382,3 @@ def test_small_tables_in_few_files_are_dealt_to_all_cores(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint>" in scan and "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in scan
     assert "Repartition" not in plan(read_table(spark, f"{tmp_path}/six", "id")) and "Repartition" not in plan(read_table(spark, f"{tmp_path}/one"))
     assert read_table(spark, f"{tmp_path}/none", "id").collect() == []
-
-
-def test_ordered_fold_sees_each_group_once_and_in_order(spark):
-    from skein.operators.folds import ordered_fold
-
-    rows = [(k, n) for n in range(300) for k in ("a", "b", None, "c")] + [("d", 5)]
-    df = spark.createDataFrame(rows, "k string, n int").repartition(5)
-
-    def fold(group):
-        got = [(r.k, r.n) for r in group]
-        return [(got[0][0], len(got), [n for _, n in got] == sorted(n for _, n in got))]
-
-    got = ordered_fold(df, ("k",), ("n",), fold, "k string, size int, sorted boolean").collect()
-    assert sorted(map(tuple, got), key=str) == sorted([("a", 300, True), ("b", 300, True), (None, 300, True), ("c", 300, True), ("d", 1, True)], key=str)
-    skip = ordered_fold(df, ("k",), (F.col("n").desc(),), lambda g: [(r.n,) for i, r in enumerate(g) if i == 0 and r.k == "a"], "n int").collect()
-    assert [r.n for r in skip] == [299]
-    assert ordered_fold(df.limit(0), ("k",), ("n",), fold, "k string, size int, sorted boolean").collect() == []
