@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.rules import article_category
 from skein.functions.text import strip
+from skein.sources.lines import numbered_lines
 
 MIN_TEXT, PER_CATEGORY, MOST_DOCS, MOST_CASES = 180, 5, 20, 30
 
@@ -83,8 +84,5 @@ def _numbered(rows: DataFrame, position: str, blocks: int = 1024) -> DataFrame:
 
 
 def line_numbers(path: str, spark) -> DataFrame:
-    """(line, value) of a text file with physical line numbers from 1, blank lines counted."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value")).withColumn("line", (F.col("line") + 1).cast("long"))
-
-
+    """(line, value) of text files with physical line numbers from 1 in each, blank lines counted."""
+    return numbered_lines(spark, path).select(F.col("number").alias("line"), "value")

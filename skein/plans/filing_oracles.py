@@ -6,6 +6,8 @@ that waits) from row to row, unlike the engine, which sums over windows and arra
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from skein.functions import rules
 from skein.plans.oracles import B, BLOCKS, ORACLES, _case, _heading, _secondary, any_of, cleaned, listed, oracle, q, spaces, strip, words
 from skein.plans.oracles import _skip as _SKIP
@@ -139,3 +141,39 @@ oracle(
     f"SELECT doc, doc || '_' || {_key} || '_' || lpad(n::VARCHAR, 4, '0') AS id, section, {labels(False)} AS primary_topic, {labels(True)} AS secondary_topic, kind AS chunk_type, {_quality} AS quality, {concise('topic', 'title')} AS title, text FROM hays",
 )
 ORACLES["filing_chunks"] = ORACLES["filing_chunks"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+# --- Blocks of HTML: a reader with a stack of what hides, token by token. ---
+_inside = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
+_TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<script\b{_inside}>.*?(?:</script\b[^>]*>|\z)|<style\b{_inside}>.*?(?:</style\b[^>]*>|\z)|</?[a-z]{_inside}>|<[!?/][^>]*>|[^<]+|<"
+_VOID = "'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr'"
+_BREAKING = "'div', 'p', 'tr', 'li', 'br', 'hr'"
+_names = "MAP {" + ", ".join(f"{q('&' + n)}: {q(c)}" for n, c in html5.items() if n.endswith(";")) + "}"
+_plain = f"translate(array_to_string(list_transform(regexp_extract_all(t, '&[A-Za-z0-9]+;|[^&]+|&'), lambda p: coalesce({_names}[p], p)), ''), chr(160), ' ')"
+
+
+def _attribute(name: str) -> str:
+    """The value of an attribute of the tag t, small letters."""
+    pattern = rf"""(?i)[^a-z-]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return f"lower(trim(coalesce(regexp_extract(t, {q(pattern)}, 1), ''), {q(chr(34) + chr(39))}))"
+
+
+_top = "coalesce(f.stack[-1], false)"
+
+HTML_BLOCKS = f"""found AS (SELECT page_id, regexp_extract_all(html, {q(_TOKEN)}) AS ts FROM pages),
+  each AS (SELECT page_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM found),
+  read AS (SELECT *, lower(regexp_extract(t, '^</?([A-Za-z][^\\s/>]*)', 1)) AS name, starts_with(t, '</') AS ends, NOT regexp_matches(t, '^<[A-Za-z/!?]') AS is_text FROM each WHERE NOT regexp_matches(t, '(?i)^<(?:!|\\?|script\\b|style\\b)')),
+  tok AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, name, CASE WHEN is_text THEN 'text' WHEN name = '' THEN 'none' WHEN ends THEN CASE WHEN name IN ({_VOID}) THEN 'none' ELSE 'end' END WHEN name IN ({_VOID}) THEN 'void' WHEN ends_with(t, '/>') THEN 'both' ELSE 'start' END AS kind,
+      CASE WHEN is_text THEN {_plain} END AS said, name = 'head' OR {_attribute("hidden")} IN ('hidden', 'true') OR contains(replace({_attribute("style")}, ' ', ''), 'display:none') AS own FROM read
+    UNION ALL SELECT page_id, count(*) + 1, 'p', 'last', NULL, false FROM read GROUP BY page_id),
+  walk AS (SELECT DISTINCT page_id, 0::BIGINT AS i, []::BOOLEAN[] AS stack, 0 AS tables, []::VARCHAR[] AS parts, false AS tab, NULL::VARCHAR[] AS out, false AS out_tab FROM tok
+    UNION ALL SELECT f.page_id, k.i, CASE k.kind WHEN 'start' THEN list_append(f.stack, unseen) WHEN 'end' THEN f.stack[1:len(f.stack) - 1] ELSE f.stack END,
+      CASE WHEN unseen OR k.name <> 'table' THEN f.tables WHEN k.kind = 'start' THEN f.tables + 1 WHEN k.kind = 'end' AND f.tables > 0 THEN f.tables - 1 ELSE f.tables END,
+      CASE WHEN breaks THEN []::VARCHAR[] WHEN spoken THEN list_append(f.parts, k.said) ELSE f.parts END,
+      CASE WHEN breaks THEN false WHEN spoken THEN f.tab OR f.tables > 0 ELSE f.tab END, CASE WHEN breaks THEN f.parts END, f.tab
+    FROM walk f JOIN tok k ON k.page_id = f.page_id AND k.i = f.i + 1,
+      LATERAL (SELECT {_top} OR (k.kind IN ('start', 'void', 'both') AND k.own) AS unseen),
+      LATERAL (SELECT k.kind = 'last' OR (NOT unseen AND ((k.kind IN ('start', 'void', 'both') AND k.name IN ({_BREAKING})) OR (k.kind IN ('end', 'both') AND k.name IN ({_BREAKING}, 'td', 'th')))) AS breaks),
+      LATERAL (SELECT k.kind = 'text' AND NOT unseen AND {strip("k.said")} <> '' AS spoken)),
+  raw AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS ordinal, {spaces("array_to_string(out, ' ')")} AS text, out_tab AS in_table FROM walk WHERE len(out) > 0)"""
+oracle("html_blocks", HTML_BLOCKS, "SELECT page_id, ordinal, text, in_table FROM raw WHERE text <> ''")
+ORACLES["html_blocks"] = ORACLES["html_blocks"].replace("WITH ", "WITH RECURSIVE ", 1)
