@@ -12,6 +12,7 @@ from skein.functions import text
 from skein.operators import answering, chunking, evaluation, filing, generation, retrieval, sampling
 from skein.operators.embedding import HashingModel, model_from_environment, signed_buckets
 from skein.sources import index_store, jsonl
+from skein.sources.pages import read_pages
 from skein.storage import Scratch
 
 
@@ -69,7 +70,7 @@ def _evaluated(spark: SparkSession, path: str, limit: int | None, index: str, k:
     cases = jsonl.read_cases(spark, path)
     cases = cases.orderBy("position").limit(limit) if limit is not None else cases
     found = _found(spark, cases.select("qid", "question"), index, k, model)
-    lines = found.groupBy("qid").agg(answering.ordered(answering.debug_line(), F.col("rank")).alias("retrieved"))
+    lines = found.groupBy("qid").agg(answering.ordered(answering.debug_line(), F.col("rank")).alias("retrieved"), F.min_by("title", "rank").alias("top_title"))
     return evaluation.results(cases, generation.respond(cases.select("qid", "question"), found)).join(lines, "qid", "left")
 
 
@@ -123,7 +124,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         if args.output:
             _write(args.output, out)
     elif args.verb == "prepare-filing":
-        page = spark.read.text(args.input, wholetext=True).select(F.lit(pathlib.Path(args.input).stem).alias("doc"), F.regexp_replace("value", "\ufffd", "").alias("html"))
+        page = read_pages(spark, args.input)
         given = [F.lit(x).alias(c) for c, x in (("company", args.company), ("doc_type", args.doc_type), ("filing_date", args.filing_date))]
         rows = Scratch(spark).save(filing.filings(page, strict=True).select("id", *given, "section", "primary_topic", "secondary_topic", "chunk_type", "quality", "title", "text", F.lit(args.input).alias("source")), "chunks")
         jsonl.write_jsonl(rows, args.output)

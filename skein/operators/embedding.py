@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import word_tokens
+from skein.storage import Scratch
 
 DIMENSION = 256
 
@@ -107,19 +108,40 @@ class BatchModel:
     batch_size: int = 32
 
     def vectors(self, texts: DataFrame, column: str) -> DataFrame:
+        return self._called(texts, column, False).drop("embedding_error")
+
+    def tried(self, texts: DataFrame, column: str) -> DataFrame:
+        """``vectors`` with a column ``embedding_error``: where a call failed its rows have the reason and no vector, and the others go on."""
+        return self._called(texts, column, True)
+
+    def _called(self, texts: DataFrame, column: str, catch: bool) -> DataFrame:
         import pyarrow as pa
 
         call, size, n, provider = self.call, self.batch_size, self.dimension, self.provider
 
+        def made(words: list[str]) -> list[list[float]]:
+            out = [list(map(float, v)) for v in call(words)]
+            if len(out) != len(words) or any(len(v) != n for v in out):
+                raise EmbeddingError(f"EmbeddingError: {provider}: expected {len(words)} vectors of {n} numbers")
+            return out
+
         def run(batches):
             for b in batches:
-                words = [x or "" for x in b.column(column).to_pylist()]
-                out = [list(map(float, v)) for lo in range(0, len(words), size) for v in call(words[lo : lo + size])]
-                if len(out) != len(words) or any(len(v) != n for v in out):
-                    raise EmbeddingError(f"{provider}: expected {len(words)} vectors of {n} numbers")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64())), pa.array([provider] * len(out))], names=[*b.schema.names, "vector", "embedding_provider"])
-
-        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields], "vector array<double>", "embedding_provider string"])
+                words, vectors, errors = [x or "" for x in b.column(column).to_pylist()], [], []
+                for lo in range(0, len(words), size):
+                    part = words[lo : lo + size]
+                    try:
+                        vectors += made(part)
+                        errors += [None] * len(part)
+                    except EmbeddingError as e:
+                        if not catch:
+                            raise
+                        vectors += [None] * len(part)
+                        errors += [str(e)] * len(part)
+                more = [pa.array(vectors, pa.list_(pa.float64())), pa.array([provider] * len(words)), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "vector", "embedding_provider", "embedding_error"])
+
+        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields], "vector array<double>", "embedding_provider string", "embedding_error string"])
         return texts.mapInArrow(run, schema)
 
     def metadata(self) -> dict[str, str]:
@@ -128,9 +150,12 @@ class BatchModel:
 
 @dataclass(frozen=True)
 class FallbackModel:
-    """The first model, or the second for the whole table where the first fails; ``embedding_provider`` tells which."""
+    """The first model, and the second for the texts of those calls that failed; ``embedding_provider`` tells which, row by row.
+
+    What the first model gave is written before its failures are asked again, so no call is made twice.
+    """
 
-    first: EmbeddingModel
+    first: BatchModel
     second: EmbeddingModel
 
     @property
@@ -138,14 +163,9 @@ class FallbackModel:
         return self.first.dimension
 
     def vectors(self, texts: DataFrame, column: str) -> DataFrame:
-        try:
-            out = self.first.vectors(texts, column)
-            out.limit(1).collect()
-            return out
-        except Exception as e:  # an executor's error comes as Spark's, with ours in its text
-            if not isinstance(e, EmbeddingError) and "EmbeddingError" not in str(e):
-                raise
-            return self.second.vectors(texts, column)
+        done = Scratch(texts.sparkSession).save(self.first.tried(texts, column), "tried")
+        failed = done.where("embedding_error IS NOT NULL").select(*texts.columns)
+        return done.where("embedding_error IS NULL").drop("embedding_error").unionByName(self.second.vectors(failed, column))
 
     def metadata(self) -> dict[str, str]:
         return self.first.metadata()
@@ -182,9 +202,9 @@ def _sentence_model(name: str):
         raise EmbeddingError(f"EmbeddingError: {e}") from e
 
 
-def local_call(model: str) -> Callable[[Sequence[str]], list[list[float]]]:
-    """A sentence-transformer on the executors, its vectors of unit length."""
-    return lambda texts: [[float(x) for x in v] for v in _sentence_model(model).encode(list(texts), normalize_embeddings=True)]
+def local_call(model: str, normalize: bool = True) -> Callable[[Sequence[str]], list[list[float]]]:
+    """A sentence-transformer on the executors, its vectors of unit length unless ``normalize`` is off."""
+    return lambda texts: [[float(x) for x in v] for v in _sentence_model(model).encode(list(texts), normalize_embeddings=normalize)]
 
 
 def embedding_rows(payload: dict) -> list[list[float]]:
@@ -201,6 +221,14 @@ def embedding_rows(payload: dict) -> list[list[float]]:
     return out
 
 
+#: What says no in a setting, in any case; all else says yes (fixed values).
+NO = ("0", "false", "no", "off")
+
+
+def truth(setting: str) -> bool:
+    return setting.strip().lower() not in NO
+
+
 def model_from_environment(env: dict[str, str] | None = None, dimension: int = DIMENSION) -> EmbeddingModel:
     """Hashing, unless EMBEDDING_PROVIDER asks for a local or a remote one (with its settings); these fall back to hashing."""
     env = os.environ if env is None else env
@@ -208,7 +236,7 @@ def model_from_environment(env: dict[str, str] | None = None, dimension: int = D
     setting = lambda name, default="": env.get(f"EMBEDDING_{name}") or env.get(f"OPENAI_{name}") or default
     n, batch = int(setting("DIMENSION", str(dimension))), int(setting("BATCH_SIZE", "32"))
     if kind in ("local", "bge", "sentence-transformers") and setting("MODEL"):
-        return FallbackModel(BatchModel(local_call(setting("MODEL")), n, "local", setting("MODEL"), batch), HashingModel(n))
+        return FallbackModel(BatchModel(local_call(setting("MODEL"), truth(env.get("LOCAL_EMBEDDING_NORMALIZE", "true"))), n, "local", setting("MODEL"), batch), HashingModel(n))
     if kind in ("openai", "remote") and setting("BASE_URL") and setting("API_KEY"):
         remote = remote_call(setting("BASE_URL"), setting("API_KEY"), setting("MODEL"))
         return FallbackModel(BatchModel(remote, n, "remote", setting("MODEL"), batch), HashingModel(n))

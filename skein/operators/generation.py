@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import answering
+from skein.storage import Scratch
 
 
 class LLMGenerationError(RuntimeError):
@@ -35,38 +36,60 @@ class Extractive:
 
 @dataclass(frozen=True)
 class Remote:
-    """A function from prompts to texts, called on the executors, one batch of rows at a time."""
+    """A function from prompts to texts, called on the executors for ``batch_size`` prompts at a time."""
 
     call: Callable[[Sequence[str]], Sequence[str]]
+    batch_size: int = 1
 
     def raw(self, questions: DataFrame, context: DataFrame) -> DataFrame:
+        return self._called(questions, context, False).drop("error")
+
+    def tried(self, questions: DataFrame, context: DataFrame) -> DataFrame:
+        """``raw`` with a column ``error``: where a call failed its questions have the reason and no text, and the others go on."""
+        return self._called(questions, context, True)
+
+    def _called(self, questions: DataFrame, context: DataFrame, catch: bool) -> DataFrame:
         import pyarrow as pa
 
-        call = self.call
+        call, size = self.call, self.batch_size
         asked = answering.prompts(context, questions.join(context.select("qid").distinct(), "qid", "left_semi"))
 
+        def made(prompts: list[str]) -> list[str]:
+            out = list(call(prompts))
+            if len(out) != len(prompts):
+                raise LLMGenerationError(f"LLMGenerationError: expected {len(prompts)} texts")
+            return out
+
         def run(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array(list(call(b.column("prompt").to_pylist())), pa.string())], names=["qid", "raw"])
-
-        return asked.mapInArrow(run, f"qid {questions.schema['qid'].dataType.simpleString()}, raw string")
+                prompts, texts, errors = b.column("prompt").to_pylist(), [], []
+                for lo in range(0, len(prompts), size):
+                    part = prompts[lo : lo + size]
+                    try:
+                        texts += made(part)
+                        errors += [None] * len(part)
+                    except LLMGenerationError as e:
+                        if not catch:
+                            raise
+                        texts += [None] * len(part)
+                        errors += [str(e)] * len(part)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["qid", "raw", "error"])
+
+        return asked.mapInArrow(run, f"qid {questions.schema['qid'].dataType.simpleString()}, raw string, error string")
 
 
 @dataclass(frozen=True)
 class Fallback:
-    """The first generator, or the second for all questions where the first fails."""
+    """The first generator, and the second for those questions whose call failed. What the first gave is written before that, so no call is made twice."""
 
-    first: AnswerGenerator
+    first: Remote
     second: AnswerGenerator
 
     def raw(self, questions: DataFrame, context: DataFrame) -> DataFrame:
-        try:
-            rows = self.first.raw(questions, context).collect()  # bounded by the questions of one run
-        except Exception as e:
-            if not isinstance(e, LLMGenerationError) and "LLMGenerationError" not in str(e):
-                raise
-            return self.second.raw(questions, context)
-        return questions.sparkSession.createDataFrame(rows, f"qid {questions.schema['qid'].dataType.simpleString()}, raw string")
+        done = Scratch(questions.sparkSession).save(self.first.tried(questions, context), "tried")
+        failed = done.where("error IS NOT NULL").select("qid")
+        rest = self.second.raw(questions.join(failed, "qid", "left_semi"), context.join(failed, "qid", "left_semi"))
+        return done.where("error IS NULL").select("qid", "raw").unionByName(rest.select("qid", "raw"))
 
 
 def message_text(payload: dict) -> str:

@@ -177,3 +177,11 @@ HTML_BLOCKS = f"""found AS (SELECT page_id, regexp_extract_all(html, {q(_TOKEN)}
   raw AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS ordinal, {spaces("array_to_string(out, ' ')")} AS text, out_tab AS in_table FROM walk WHERE len(out) > 0)"""
 oracle("html_blocks", HTML_BLOCKS, "SELECT page_id, ordinal, text, in_table FROM raw WHERE text <> ''")
 ORACLES["html_blocks"] = ORACLES["html_blocks"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+_first = lambda where: f"(SELECT min(b.ordinal) FROM shown b WHERE b.page_id = p.page_id AND {where})"
+ORACLES["page_sections"] = f"""WITH RECURSIVE {HTML_BLOCKS}, shown AS (SELECT *, lead(text) OVER (PARTITION BY page_id ORDER BY ordinal) AS following FROM raw WHERE text <> ''), p AS (SELECT DISTINCT page_id FROM shown),
+  a AS (SELECT page_id, {_first("ends_with(b.text, '.')")} AS s FROM p), a2 AS (SELECT page_id, s, {_first("b.ordinal > p.s AND NOT contains(b.text, '.')")} AS e FROM a p),
+  r AS (SELECT page_id, {_first("b.ordinal >= p.e AND NOT contains(b.text, '.')")} AS s FROM a2 p WHERE e IS NOT NULL), r2 AS (SELECT page_id, s, {_first("b.ordinal > p.s AND contains(b.text, '©')")} AS e FROM r p),
+  t AS (SELECT page_id, {_first("NOT contains(b.text, '.') AND NOT contains(b.text, '©') AND starts_with(b.following, 'A')")} AS s FROM p), t2 AS (SELECT page_id, s, {_first("b.ordinal > p.s AND contains(b.text, '©')")} AS e FROM t p),
+  bounds AS (SELECT page_id, 'text' AS section, s, e FROM a2 UNION ALL SELECT page_id, 'rest', s, e FROM r2 UNION ALL SELECT page_id, 'titled', s, e FROM t2)
+SELECT page_id, section, min(ordinal) AS first, max(ordinal) AS last, count(*) AS blocks FROM bounds JOIN shown USING (page_id) WHERE ordinal >= s AND ordinal < e GROUP BY 1, 2"""

@@ -254,7 +254,7 @@ oracle("skip_flags", BLOCKS, f"SELECT doc, ordinal::INT AS ordinal, {_skip} AS s
 oracle("normalize_spaces", DOCS, f"SELECT doc_id, length(x)::INT AS n, md5(x) AS hash FROM (SELECT doc_id, {spaces(chr(39) + '( “a” ,b ' + chr(39) + ' || content || ' + chr(39) + ' – c’s )' + chr(39))} AS x FROM docs)")
 oracle("count_words", DOCS, f"SELECT doc_id, {words('content')}::INT AS words FROM docs")
 oracle("section_counts", CHUNKS, "SELECT section, count(*) AS chunks FROM chunks GROUP BY 1")
-oracle("quality_label", DOCS + ", t AS (SELECT doc_id, substr(content, 1, 1600) AS x FROM docs)", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN length(x) BETWEEN 300 AND 1200 THEN 'high' ELSE 'medium' END WHEN length(x) BETWEEN 300 AND 1200 AND {words('x')} >= 35 THEN 'high' WHEN length(x) BETWEEN 150 AND 1500 THEN 'medium' ELSE 'low' END AS quality FROM t")
+oracle("quality_label", DOCS + ", t AS (SELECT doc_id, content AS x FROM docs)", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN length(x) BETWEEN 300 AND 1200 THEN 'high' ELSE 'medium' END WHEN length(x) BETWEEN 300 AND 1200 AND {words('x')} >= 35 THEN 'high' WHEN length(x) BETWEEN 150 AND 1500 THEN 'medium' ELSE 'low' END AS quality FROM t")
 
 _REFERENCES = (  # the cross references of a paragraph, as RE2
     r"\s*(?:For (?:more|further|additional) information[^.]*,\s*)?refer to [^.]+(?:\.|$)",
@@ -286,19 +286,11 @@ _breaks = "regexp_replace(" + spaces("content") + ", '([.!?]) ([A-Z0-9\"''])', '
 oracle("prose_sentences", DOCS, f"SELECT doc_id, len(list_filter(string_split({_breaks}, chr(10)), lambda s: s <> ''))::INT AS sentences FROM docs")
 
 _TITLES = [n for n, _ in (*rules.TOPIC_RULES, *rules.RISK_TOPICS)] + ["business", "Risk factors", "net income was up", "plain, cut here", "var moved"]
-TOPICAL = f"{DOCS}, topical AS (SELECT doc_id, {listed(_TITLES)}[(doc_id % {len(_TITLES)} + 1)::INT] AS title, {listed(rules.SECTIONS)}[((doc_id // {len(_TITLES)}) % 3 + 1)::INT] AS section, substr(content, 1, 1600) AS text FROM docs)"
 _case = lambda x, table: " ".join(f"WHEN contains({x}, {q(n)}) THEN {q(t)}" for n, t in table)
 _raw = "regexp_replace(title, '[.:]+$', '')"
-_hay = f"lower({_raw} || ' ')"
 _generic = "CASE lower(" + _raw + ") " + " ".join(f"WHEN {q(n)} THEN {q(t)}" for n, t in rules.GENERIC_TITLES.items()) + " END"
 _short = f"regexp_replace(string_split_regex({_raw}, {q(rules.TITLE_CUT)})[1], '^[ .:\\-]+|[ .:\\-]+$', '', 'g')"
 _seven = f"array_to_string(string_split({_short}, ' ')[1:7], ' ')"
-_topic = f"""CASE {_case(_hay, rules.PRIORITY_TOPICS)} WHEN section = {q(rules.MDA)} AND regexp_matches({_hay}, '\\bvar\\b') THEN 'Value-at-risk' {_case(_hay, rules.TOPIC_RULES)}
-  WHEN section = {q(rules.RISK)} THEN CASE {_case(_hay, rules.RISK_TOPICS)} ELSE 'Risk factor' END ELSE coalesce({_generic}, nullif({_seven}, ''), section) END"""
-oracle(
-    "semantic_topic", TOPICAL + f", t AS (SELECT doc_id, {_topic} AS topic, lower(text) AS low FROM topical)",
-    "SELECT doc_id, topic, lower(topic) IN ('management discussion and analysis', 'financial performance drivers') OR starts_with(low, 'comparisons noted in the sections below') OR starts_with(low, 'selected business metrics') OR contains(low, 'the following is a discussion') AS low_value, topic AS title FROM t",
-)
 
 
 def _secondary(table: str, hay: str) -> str:
@@ -316,14 +308,15 @@ def _taxonomy(secondary: bool) -> str:
     return out + "END"
 
 
-oracle("taxonomy", TOPICAL + ", t AS (SELECT doc_id, section, lower(title) AS low, lower(title || '  ') AS hay FROM topical)", f"SELECT doc_id, {_taxonomy(False)} AS primary_topic, {_taxonomy(True)} AS secondary_topic FROM t")
-
 # Topics and taxonomy over whole texts: title and text are searched, the topic first in the taxonomy.
 _ALL = f"{DOCS}, titled AS (SELECT doc_id, {listed(_TITLES)}[(doc_id % {len(_TITLES)} + 1)::INT] AS title, {listed(rules.SECTIONS)}[((doc_id // {len(_TITLES)}) % 3 + 1)::INT] AS section, content FROM docs)"
 _found = f"""CASE {_case("both_low", rules.PRIORITY_TOPICS)} WHEN section = {q(rules.MDA)} AND regexp_matches(both_low, '\\bvar\\b') THEN 'Value-at-risk' {_case("both_low", rules.TOPIC_RULES)}
   WHEN section = {q(rules.RISK)} THEN CASE {_case("both_low", rules.RISK_TOPICS)} ELSE 'Risk factor' END ELSE coalesce({_generic}, nullif({_seven}, ''), section) END"""
 _LABELLED = f"{_ALL}, searched AS (SELECT *, lower({_raw} || ' ' || content) AS both_low FROM titled), labelled AS (SELECT doc_id, section, title, content, {_found} AS topic FROM searched)"
 _low = f"(lower(topic) IN ({', '.join(q(t) for t in rules.LOW_VALUE_TOPICS)}) OR {_starts('lower(content)', rules.LOW_VALUE_STARTS)} OR {any_of('lower(content)', rules.LOW_VALUE_CONTAINS)})"
+_cut = f"regexp_replace(regexp_replace(CASE WHEN {strip('topic')} <> '' THEN {strip('topic')} ELSE {strip('title')} END, '{B}+', ' ', 'g'), '^[ .:\\-]+|[ .:\\-]+$', '', 'g')"
+oracle("semantic_topic", _LABELLED + f", cut AS (SELECT *, {_cut} AS c FROM labelled)", f"SELECT doc_id, topic, {_low} AS low_value, CASE WHEN length(c) <= 80 THEN c ELSE regexp_replace(substr(c, 1, 77), '{B}+$', '') || '...' END AS title FROM cut")
+oracle("taxonomy", _ALL + ", hays AS (SELECT doc_id, section, lower(title) AS low, lower(title || '  ' || content) AS hay FROM titled)", f"SELECT doc_id, {_taxonomy(False)} AS primary_topic, {_taxonomy(True)} AS secondary_topic FROM hays")
 oracle("topic_of_text", _LABELLED, f"SELECT doc_id, topic, {_low} AS low_value FROM labelled")
 oracle(
     "taxonomy_of_text", _LABELLED + ", hays AS (SELECT doc_id, section, topic, lower(topic) AS low, lower(topic || ' ' || title || ' ' || content) AS hay FROM labelled)",

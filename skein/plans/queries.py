@@ -323,6 +323,14 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filing.html_blocks(tables.read(spark, sf_dir, "pages"))
 
 
+@query
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages, in one pass over their blocks: from the first block that ends a sentence to the first without a full stop, and on from there to the notice of rights."""
+    specs = (filing.SectionSpec("text", r".*\.", r"[^.]*"), filing.SectionSpec("rest", r"[^.]*", ".*©.*", after="text"), filing.SectionSpec("titled", r"[^.©]*", ".*©.*", opening="A"))
+    rows = filing.sectioned(filing.html_blocks(tables.read(spark, sf_dir, "pages")), "page_id", specs=specs)
+    return rows.groupBy("page_id", "section").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("blocks"))
+
+
 @query
 def section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filing.section_bounds(_blocks(spark, sf_dir), r"Item \d+\. Part\.", r"Item \d+\. Part\.")

@@ -1,4 +1,4 @@
-"""Streaming ingest: documents are chunked and hashed as they arrive, and appended to an index table once."""
+"""Streaming ingest: documents are chunked and hashed as they arrive, and appended to an index once."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators.chunking import ChunkingConfig, chunk_documents, chunk_records, embedding_text
-from skein.operators.embedding import DIMENSION, signed_buckets
+from skein.operators.embedding import DIMENSION, EmbeddingModel, signed_buckets
+from skein.sources import index_store
 
 
 def prepared(docs: DataFrame, config: ChunkingConfig = ChunkingConfig(), dimension: int = DIMENSION) -> DataFrame:
@@ -15,13 +16,16 @@ def prepared(docs: DataFrame, config: ChunkingConfig = ChunkingConfig(), dimensi
     return chunk_records(chunk_documents(docs, config)).withColumn("codes", signed_buckets(embedding_text(), dimension))
 
 
-def ingest(docs: DataFrame, path: str, checkpoint: str, config: ChunkingConfig = ChunkingConfig(), available_now: bool = True) -> StreamingQuery:
-    """Append a stream of documents to the Parquet table at ``path``; each batch goes to a folder of its own, so a repeated one replaces itself."""
+def ingest(docs: DataFrame, path: str, checkpoint: str, config: ChunkingConfig = ChunkingConfig(), available_now: bool = True, model: EmbeddingModel | None = None) -> StreamingQuery:
+    """Append a stream of documents to the index at ``path``, batch by batch, each of them once: a batch that comes again after a failure is known by its number.
+
+    The index can be asked between batches, as one that was built at once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        index_store.append(batch, path, checkpoint.rstrip("/"), number, model)
 
-    out = prepared(docs, config).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    out = chunk_records(chunk_documents(docs, config)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 

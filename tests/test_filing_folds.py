@@ -59,3 +59,27 @@ def test_a_section_is_shuffled_once(spark, tables):
     """All that section_chunks does groups within the sections that its one shuffle gathers."""
     plan = queries.QUERIES["section_chunks"](spark, tables).select(F.col("doc"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc") == 1
+
+
+def test_sections_in_one_pass_are_those_of_their_bounds(spark):
+    """Against the bounds one by one: missing starts and ends, repeated headings, sections that overlap."""
+    from skein.operators import filing
+
+    rng = random.Random(9)
+    lines = ["Item 1. Business.", "Item 1A. Risk Factors.", "Item 1B. Unresolved Staff Comments.", filing.MDA_HEADING, filing.MDA_OPENING + " of it", filing.MDA_END, "text", "more"]
+    rows = [(d, i, rng.choice(lines), False) for d in range(150) for i in sorted(rng.sample(range(60), rng.randrange(0, 25)))]
+    blocks = spark.createDataFrame(rows, "doc int, ordinal int, text string, in_table boolean")
+    first = filing.section_bounds(blocks, filing.BUSINESS_START, filing.RISK_START)
+    after = first.where("end_ordinal is not null").select("doc", F.col("end_ordinal").alias("after"))
+    risk = filing.section_bounds(blocks, filing.RISK_START, filing.RISK_END, after=after)
+    mda = filing.discussion_bounds(blocks, filing.MDA_HEADING, filing.MDA_OPENING, filing.MDA_END)
+    want = set()
+    for name, bounds in zip((s.name for s in filing.FILING_SECTIONS), (first, risk, mda), strict=True):
+        for b in bounds.where("end_ordinal is not null").collect():
+            want |= {(b.doc, name, o, t) for d, o, t, _ in rows if d == b.doc and b.start_ordinal <= o < b.end_ordinal}
+    out = filing.sectioned(blocks)
+    assert {(r.doc, r.section, r.ordinal, r.text) for r in out.collect()} == want and out.count() == len(want) > 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "Join" not in plan
+    with pytest.raises(ValueError, match="could not find"):
+        filing.sectioned(blocks, strict=True)
