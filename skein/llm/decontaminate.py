@@ -1,24 +1,22 @@
-"""Benchmark decontamination by seed hashing.
-
-Texts become lower-case words, split at ASCII spaces and punctuation. A mask looks at some positions
-of a window. Every window of every document is hashed under each mask and joined
-with the same hashes of all benchmark items. ``MASKS`` leave no accepted alignment
-without a hit: 12 agreeing words of 16 lie in 5 runs at most, so one run has 3
-words. That holds for shorter items too, but for those of ``MORE_MASKS``, whose
-lengths get masks besides (only if there are such items). A hit
-gives an alignment of document and item (same offset, no insertions); around it,
-the aligned words are compared, and the item is found in the document if some
-``WINDOW`` aligned words (all of the item, if it has fewer) agree in at least
-``AGREE`` of them.
-
-Windows are made, hashed and probed in one generated stage, and a hit is verified
-where it arises, from the two word arrays at hand; only alignments that pass are
-shuffled, after a partial aggregate. The item hashes are broadcast if they are
-``BROADCAST_ROWS`` at most; above that the join shuffles by hash.
-
-Items of fewer than ``SHORTEST`` words match nothing.
-Null and empty texts match nothing. Repeated rows and copies are found each,
-rows of equal doc_id together. Empty tables give an empty result.
+"""Benchmark decontamination by spaced seeds.
+
+Texts become lower-case words, what lies between ASCII spaces, punctuation and control characters.
+A mask looks at four positions of a window and ignores those between. Every window of every document
+is hashed under each mask and joined with the same hashes of all benchmark items. An item is found in
+a document if some ``WINDOW`` aligned words (all of the item, if it has fewer) agree in at least
+``AGREE`` of them. The masks together leave no such alignment without a hit, wherever its words differ:
+two are enough for windows of ``WINDOW`` words, three for any from ``SHORTEST`` on (a test tries all
+patterns). Four is the most positions for which there is such a family for the short ones.
+
+1. Hits are (document, item, lag), each once, however many windows of a copied passage agree.
+2. The texts of what was hit are read again and cut to the aligned words, which are compared.
+
+A document's words go along with none of its hits, so work and memory grow with the length of a text.
+The item hashes, and the hits, are broadcast if they are ``BROADCAST_ROWS`` at most, rows of a few
+numbers and keys; above that they are joined by a shuffle.
+
+Items of fewer than ``SHORTEST`` words match nothing. Null and empty texts match nothing. Repeated
+rows and copies are found each, rows of equal doc_id together, those without one too. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,27 +24,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 2),)
-#: By number of words of an item: masks for agreeing words without a run of 3.
-MORE_MASKS = {8: ((0, 1, 3, 4),)}
+from skein.storage import Scratch
+
+#: For windows of WINDOW words, and for any.
+LONG_MASKS = ((0, 1, 2, 4), (0, 1, 3, 6))
+MASKS = ((0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 5, 6))
 SHORTEST = 6
 WINDOW = 16
 AGREE = 0.75
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    """Lower-case words: what lies between runs of ASCII spaces, punctuation and control characters."""
-    return F.split(F.lower(text), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    """Lower-case words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"), F.lit(0))
+
+
+def seeds(df: DataFrame, masks: tuple) -> DataFrame:
+    """The columns of ``df`` but ``words``, by position ``at`` and seed hash of its windows."""
 
+    def under(i: int, mask: tuple[int, ...]) -> Column:
+        last = F.size("words") - 1 - mask[-1]
+        one = lambda at: F.struct(at.alias("at"), F.xxhash64(F.lit(i), *[F.get("words", at + o) for o in mask]).alias("seed"))
+        none = F.expr("cast(array() as array<struct<at:int,seed:bigint>>)")
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(none)
 
-def seeds(df: DataFrame, masks: tuple = MASKS) -> DataFrame:
-    """``df`` (with an array ``words``) by position ``at`` and seed hash."""
-    n = F.size("words")
-    # The outer form infers no filter, which would split each text again.
-    at = df.select("*", F.posexplode_outer("words").alias("at", "__word"))
-    one = lambda i, mask: F.when(F.col("at") + mask[-1] < n, F.xxhash64(F.lit(i), *[F.get("words", F.col("at") + o) for o in mask]))
-    return at.where(F.col("at") + min(m[-1] for m in masks) < n).select(*df.columns, "at", F.explode(F.array(*[one(i, m) for i, m in enumerate(masks)])).alias("seed")).where("seed is not null")
+    every = F.flatten(F.array(*[under(i, m) for i, m in enumerate(masks)]))
+    # The outer form infers no filter, which would make all seeds twice.
+    return df.select(*[c for c in df.columns if c != "words"], F.inline_outer(every)).where("seed is not null")
 
 
 def best_window(equal: Column, wide: Column) -> Column:
@@ -57,32 +62,28 @@ def best_window(equal: Column, wide: Column) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, agree: float = AGREE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, n_equal, n_window, doc_at, item_at (word offsets of the alignment)."""
-    tests = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), words(F.col(item_text)).alias("words"))
-    # One seed row for each hash and item; equal windows inside an item keep each position, as each gives its own alignment.
-    tests = tests.where(F.size("words") >= SHORTEST)
-    lengths = [r.n for r in tests.select(F.size("words").alias("n")).where(F.col("n").isin(*MORE_MASKS)).distinct().orderBy("n").collect()]
-    masks = tuple(dict.fromkeys((*MASKS, *(m for n in lengths for m in MORE_MASKS[n]))))
-    probes = seeds(tests, masks).select("seed", "item_id", F.col("at").alias("item_pos"), F.col("words").alias("item_words"))
+    tests = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), words(F.col(item_text)).alias("words")).where(F.size("words") >= SHORTEST)
+    short = bool(tests.where(F.size("words") < window).limit(1).count())
+    masks = MASKS if short or window < WINDOW else LONG_MASKS
+    probes = seeds(tests.withColumn("n", F.size("words")), masks).withColumnRenamed("at", "item_pos")
     small = probes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = seeds(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words")), masks)
-    hits = rows.join(F.broadcast(probes) if small else probes, "seed")
-    lag = F.col("at") - F.col("item_pos")
-    skip_doc, skip_item = F.greatest(lag, F.lit(0)), F.greatest(-lag, F.lit(0))
-    length = F.least(F.size("words") - skip_doc, F.size("item_words") - skip_item)
-    # Only the aligned words leave the generated stage; inline() keeps the slices out of the interpreted comparison below.
-    aligned = F.struct(
-        skip_doc.alias("doc_at"), skip_item.alias("item_at"), F.least(F.lit(window), F.size("item_words")).alias("n_window"),
-        F.slice("words", skip_doc + 1, length).alias("a"), F.slice("item_words", skip_item + 1, length).alias("b"),
-    )
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words"))
+    hits = seeds(texts, masks).join(F.broadcast(probes) if small else probes, "seed")
+    hits = hits.groupBy("doc_id", "item_id", "n", (F.col("at") - F.col("item_pos")).alias("lag")).agg(F.lit(1).alias("hit"))
+    hits = Scratch(docs.sparkSession).save(hits.select(F.col("doc_id").alias("__doc"), F.col("item_id").alias("__item"), "n", "lag"), "hits")
+    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    skip_doc, skip_item = F.greatest(F.col("lag"), F.lit(0)), F.greatest(-F.col("lag"), F.lit(0))
+    length = F.least(F.size("words") - skip_doc, F.col("n") - skip_item)
+    cut = texts.join(F.broadcast(hits) if few else hits, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    cut = cut.select("doc_id", "__item", "n", skip_doc.alias("doc_at"), skip_item.alias("item_at"), F.slice("words", skip_doc + 1, F.greatest(length, F.lit(0))).alias("a"))
+    tests = tests.withColumnRenamed("words", "b")
+    both = cut.join(F.broadcast(tests) if small else tests, F.col("__item").eqNullSafe(F.col("item_id")) & (F.col("n") == F.size("b")))
+    # inline() keeps the slice out of the interpreted comparison below.
+    aligned = F.struct("doc_at", "item_at", F.least(F.lit(window), F.col("n")).alias("n_window"), "a", F.slice("b", F.col("item_at") + 1, F.size("a")).alias("b"))
     equal = F.zip_with("a", "b", lambda a, b: F.when(a == b, 1).otherwise(0))
-    tried = hits.select("doc_id", "item_id", F.inline(F.array(aligned))).withColumn("n_equal", best_window(equal, F.col("n_window")))
+    tried = both.select("doc_id", "item_id", F.inline(F.array(aligned))).withColumn("n_equal", best_window(equal, F.col("n_window")))
     good = tried.where(F.col("n_equal") >= F.ceil(F.lit(agree) * F.col("n_window")))
-    # The best alignment as one number, most agreeing words first, then the leftmost: aggregated by hash, without sorting.
-    code = F.shiftleft(F.col("n_equal").cast("long"), 48) - F.shiftleft(F.col("doc_at").cast("long"), 16) - F.col("item_at")
-    best = good.groupBy("doc_id", "item_id").agg(F.max(code).alias("code"), F.max("n_window").alias("n_window"))
-    n_equal = F.shiftright(F.col("code") + F.lit((1 << 48) - 1), 48)
-    rest = F.shiftleft(n_equal, 48) - F.col("code")
-    return best.select(
-        "doc_id", "item_id", n_equal.cast("int").alias("n_equal"), "n_window",
-        F.shiftright(rest, 16).cast("int").alias("doc_at"), rest.bitwiseAND(F.lit(65535)).cast("int").alias("item_at"),
-    )
+    # The best alignment: most agreeing words, then the leftmost.
+    order = F.struct("n_equal", (-F.col("doc_at")).alias("doc_at"), (-F.col("item_at")).alias("item_at"), "n_window")
+    best = good.groupBy("doc_id", "item_id").agg(F.max(order).alias("m"))
+    return best.select("doc_id", "item_id", "m.n_equal", "m.n_window", (-F.col("m.doc_at")).alias("doc_at"), (-F.col("m.item_at")).alias("item_at"))

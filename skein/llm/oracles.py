@@ -57,11 +57,11 @@ _PASSAGES = f"""WITH words AS (SELECT doc_id, regexp_extract_all(translate(coale
   merged AS (SELECT doc_id, min(i) AS i, max(i) + 50 AS j, min(a) AS a, max(z) AS z FROM parts GROUP BY doc_id, part)
 SELECT doc_id, i::INT AS start_word, j::INT AS end_word, (j - i)::INT AS n_words, CASE WHEN a <> doc_id THEN a ELSE z END AS other_doc FROM merged"""
 
-_CUT = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Every alignment of a document and an item that agrees anywhere, without seeds.
-_LEAKS = f"""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '{_CUT}') AS w FROM documents WHERE text IS NOT NULL),
-  t AS (SELECT item_id, string_split_regex(lower(text), '{_CUT}') AS w FROM benchmark WHERE text IS NOT NULL),
+_LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_ALNUM}') AS w FROM documents WHERE text IS NOT NULL),
+  t AS (SELECT item_id, regexp_extract_all(lower(text), '{_ALNUM}') AS w FROM benchmark WHERE text IS NOT NULL),
   dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
   tw AS (SELECT item_id, least(16, len(w)) AS n_window, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM t WHERE len(w) >= 6),
   agreeing AS (SELECT doc_id, item_id, n_window, i - j AS lag, i FROM dw JOIN tw USING (word)),
@@ -91,8 +91,6 @@ _SESSIONS = """WITH RECURSIVE turns AS (SELECT conv_id, turn FROM conversations
 SELECT v.usr AS "user", v.now AS batch, v.start_s, v.end_s, v.n_events, v.n_new, coalesce(c.n, 0) AS n_retracted, v.h_sum, b.later AS retracted_batch, b.later_start AS retracted_start_s
 FROM version v LEFT JOIN contained c USING (usr, now, start_s) LEFT JOIN by_whom b USING (usr, now, start_s)"""
 
-_ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
 _TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}')"
 
 _SEARCH = f"""WITH held AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),

@@ -139,9 +139,23 @@ def test_decontamination(spark):
 
 def test_masks_miss_no_accepted_pattern():
     for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
-        masks = (*decontaminate.MASKS, *getattr(decontaminate, "MORE_MASKS", {}).get(n, ()))
-        for gone in itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n)):
-            assert any(at + m[-1] < n and not any(at + o in gone for o in m) for m in masks for at in range(n)), (n, gone)
+        for masks in (decontaminate.MASKS, decontaminate.LONG_MASKS) if n == decontaminate.WINDOW else (decontaminate.MASKS,):
+            assert all(m[-1] >= len(m) for m in masks)  # each ignores some position
+            for gone in itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n)):
+                assert any(at + m[-1] < n and not any(at + o in gone for o in m) for m in masks for at in range(n)), (n, gone)
+
+
+def test_decontamination_at_text_ends_and_of_long_items(spark):
+    """Marks at the ends of texts make no words, and an item of 100,000 words takes no more than its words."""
+    item = [f"e{j}" for j in range(12)]
+    near = [w if j not in (1, 5, 9) else "x" for j, w in enumerate(item)]
+    long = [f"l{j * 7919 % 60_000}" for j in range(100_000)]
+    rows = [(1, " ".join(near)), (2, " ".join(near) + "."), (3, "(" + ", ".join(near) + "!)"), (4, "a b c d e."), (None, " ".join(item)), (5, " ".join(long[90_000:90_030]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS lag", "2 AS n", "3 AS item_id")
+    tests = spark.createDataFrame([(1, ". " + " ".join(item) + "."), (2, "a b c d e."), (3, " ".join(long))], "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, tests).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (None, 1), (5, 3)}
+    assert all(got[i, 1].n_equal == 9 and got[i, 1].doc_at == 0 for i in (1, 2, 3)) and got[5, 3].item_at == 90_000
 
 
 def test_decontamination_of_dense_substitutions_and_short_items(spark):
