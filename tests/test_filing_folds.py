@@ -78,8 +78,8 @@ def test_sections_in_one_pass_are_those_of_their_bounds(spark):
         for b in bounds.where("end_ordinal is not null").collect():
             want |= {(b.doc, name, o, t) for d, o, t, _ in rows if d == b.doc and b.start_ordinal <= o < b.end_ordinal}
     out = filing.sectioned(blocks)
+    plan = out._jdf.queryExecution().executedPlan().toString()  # before it runs, and changes
     assert {(r.doc, r.section, r.ordinal, r.text) for r in out.collect()} == want and out.count() == len(want) > 100
-    plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 1 and "Join" not in plan
     with pytest.raises(ValueError, match="could not find"):
         filing.sectioned(blocks, strict=True)
