@@ -8,9 +8,9 @@ nearest centre gives.
 
 A query walks the tree best bin first: a priority queue holds unopened branches by
 the distance of their centre, and the leaf that comes out next is visited next.
-How many leaves (by their share of the sample) must be visited is calibrated: on
-held-out sample queries, against brute force over the sample, visits are widened
-until the mean recall reaches ``TARGET``. A query widens further until its leaves
+How many leaves (by their share of the sample) must be visited is calibrated: with
+sample points that the tree wasn't fitted to (``PROBES``, a tenth of the sample at most), against
+brute force over the rest of the sample, visits are widened until the mean recall reaches ``TARGET``. A query widens further until its leaves
 hold ``k`` points at least.
 
 Points are stored in blocks of one leaf, ``BLOCK`` points at most; queries go to the
@@ -20,9 +20,9 @@ vectors meet in one task, no pair of rows is ever a row of a table, and the quer
 may be as many as they like. What is broadcast is the tree, bounded by the sample.
 
 Distances are Euclidean, in double precision, on the original vectors; ties go to
-the smaller id. Vectors that are null, zero, empty, of another length than the
-first one's or that hold null or non-finite components take no part, as query or
-candidate. A query with fewer candidates than k gets all of them. Rows of equal id
+the smaller id. Vectors that are null, zero, empty or that hold null or non-finite
+components take no part, as query or candidate. Those of different lengths have no distance: each
+length is searched by itself, with a tree of its own. A query with fewer candidates than k gets all of them. Rows of equal id
 and vector count once. An empty table gives an empty result.
 """
 
@@ -128,12 +128,11 @@ class Tree:
                 break
         return out
 
-    def calibrate(self, x: np.ndarray, k: int, target: float) -> None:
-        """Widens visits until probes from the sample find the share ``target`` of their nearest in it."""
-        probes = np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int)
+    def calibrate(self, x: np.ndarray, probes: np.ndarray, k: int, target: float) -> None:
+        """Widens visits until ``probes`` find the share ``target`` of their nearest among the points ``x``."""
         own = self.leaf(x)
-        true = np.argsort(squared(x[probes], x) + np.where(probes[:, None] == np.arange(len(x))[None, :], np.inf, 0), axis=1)[:, :k]
-        orders = [list(self.walk(x[p])) for p in probes]
+        true = np.argsort(squared(probes, x), axis=1, kind="stable")[:, :k]
+        orders = [list(self.walk(p)) for p in probes]
         rank = np.empty((len(probes), self.leaves))
         for i, order in enumerate(orders):  # the share of the sample seen before each leaf
             rank[i, order] = np.cumsum([0, *[self.share[f] for f in order]])[:-1]
@@ -150,27 +149,33 @@ def _matrix(column) -> np.ndarray:
 
 def search(rows: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
+    data = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    good = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    data, out = data.where(good), None
+    for r in data.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():  # a row for each length
+        found = _search(data.where(F.size("v") == r["n"]), k, every, target)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(data: DataFrame, k: int, every: int, target: float) -> DataFrame:
+    """``search`` of sound vectors (vec_id, v) of one length."""
     import pyarrow as pa
 
-    spark = rows.sparkSession
+    spark = data.sparkSession
     ship_package(spark)
     scratch = Scratch(spark)
-    data = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    good = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    data = data.where(good)
-    first = data.orderBy("vec_id").select(F.size("v").alias("n")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if first is None:
-        return empty
-    data = data.where(F.size("v") == first["n"])
     # One point for each vector, with its smallest ids: as many as any answer needs, and one for the query itself.
     least = Window.partitionBy("v").orderBy("vec_id")
     ids = data.distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
     points = scratch.save(ids.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("point", F.col("ids")[0]), "points")
-    sample = points.orderBy(F.xxhash64("point")).limit(SAMPLE).select("v").toArrow()
-    x = _matrix(sample.column("v"))
-    tree = Tree(x)
-    tree.calibrate(x, k, target)
+    # About as many as wanted by a threshold of the hash, so that no task sends more than its share; the limit cuts what is over.
+    share = min(1.0, 1.1 * SAMPLE / max(1, points.count()))
+    near = F.pmod(F.xxhash64("point", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) if share < 1 else F.lit(True)
+    x = _matrix(points.where(near).orderBy(F.xxhash64("point")).limit(SAMPLE).select("v").toArrow().column("v"))
+    held = min(PROBES, len(x) // 10)
+    tree = Tree(x[held:])
+    tree.calibrate(x[held:], x[:held] if held else x, k, target)
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):

@@ -203,6 +203,16 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert sorted(copies) == list(range(1000, 1010))  # the smallest ids of equal vectors
 
 
+def test_vectors_of_several_lengths(spark):
+    """A short vector at the smallest id keeps nobody out, and each length finds its own."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0]), (1, [3.0]), (100, [0.5])] + [(i, rng.normal(size=6).tolist()) for i in range(200, 500)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got if r.query_id < 200} == {(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)}
+    assert {r.query_id for r in got} == {0, 100, 200, 300, 400} and sum(r.query_id >= 200 for r in got) == 30
+    assert all(r.vec_id >= 200 for r in got if r.query_id >= 200)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0]), (9, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df).orderBy("rank").collect()] == [(0, 1, 9), (0, 2, 7)]
