@@ -64,9 +64,8 @@ def _named(piece: Column) -> Column:
     name = F.substring(piece, 2, 40)
     whole = F.try_element_at(_lookup(html5), name)
     plain = {n: c for n, c in html5.items() if not n.endswith(";")}
-    ahead = [F.try_element_at(_lookup(plain), F.substring(name, 1, k)) for k in range(_LONGEST, 1, -1)]
-    ahead = [F.concat(c, F.substring(name, k + 1, 40)) for c, k in zip(ahead, range(_LONGEST, 1, -1), strict=True)]
-    return F.coalesce(whole, *ahead)
+    ahead = lambda m: [F.concat(F.try_element_at(m, F.substring(name, 1, k)), F.substring(name, k + 1, 40)) for k in range(_LONGEST, 1, -1)]
+    return F.coalesce(whole, let(_lookup(plain), lambda m: F.coalesce(*ahead(m))))
 
 
 def unescaped(x: Column) -> Column:
@@ -83,11 +82,11 @@ def unescaped(x: Column) -> Column:
 
 
 def _value(tag: Column, name: str) -> Column:
-    """The last value of an attribute of a tag, small letters, empty if there is none."""
+    """The last value of an attribute of a tag, small letters, references in it as they stand; empty if there is none."""
     both = F.arrays_zip(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)).alias("name"), F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)).alias("value"))
     own = F.filter(both, lambda a: F.lower(a["name"]) == name)
     value = F.regexp_replace(F.try_element_at(own, F.lit(-1))["value"], "^[\"']|[\"']$", "")
-    return F.coalesce(F.lower(unescaped(value)), F.lit(""))
+    return F.coalesce(F.lower(value), F.lit(""))
 
 
 def _hides(tag: Column, name: Column) -> Column:
