@@ -16,7 +16,7 @@ def decoded(content: Column) -> Column:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, html) of every file of a path; doc is its name without the ending. Line ends are those of the file."""
+    """(doc, html) of every file of a path that isn't empty; doc is its name without the ending. Line ends are those of the file."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return files.select(F.url_decode(name).alias("doc"), decoded(F.col("content")).alias("html"))

@@ -123,7 +123,7 @@ def test_only_failed_calls_fall_back(spark, tmp_path):
 
 def test_only_failed_questions_fall_back(spark):
     def call(prompts):
-        if any("second" in p for p in prompts):
+        if any("second question" in p for p in prompts):
             raise generation.LLMGenerationError("LLMGenerationError: down")
         return ["Answer: from afar\nSources:\n- x\nEvidence:\n- y" for _ in prompts]
 

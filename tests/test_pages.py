@@ -19,4 +19,4 @@ def test_bad_bytes_go_and_written_ones_stay(spark, tmp_path):
     for name, content in cases.items():
         (tmp_path / f"{name}.html").write_bytes(content)
     got = {r.doc: r.html for r in read_pages(spark, str(tmp_path)).collect()}
-    assert got == {name: content.decode("utf-8", errors="ignore") for name, content in cases.items()}
+    assert got == {name: content.decode("utf-8", errors="ignore") for name, content in cases.items() if content}  # an empty file has no row
