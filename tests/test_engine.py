@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -382,3 +383,41 @@ def test_small_tables_in_few_files_are_dealt_to_all_cores(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint>" in scan and "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in scan
     assert "Repartition" not in plan(read_table(spark, f"{tmp_path}/six", "id")) and "Repartition" not in plan(read_table(spark, f"{tmp_path}/one"))
     assert read_table(spark, f"{tmp_path}/none", "id").collect() == []
+
+
+def test_bucket_sums_of_rows_that_share_a_key(spark, monkeypatch, tmp_path):
+    texts = [(1, "a b a"), (1, "c ü"), (2, None), (3, "..."), (None, "x"), (None, "x y"), (5, "w " * 5000), *[(7, f"t{i} u") for i in range(5000)]]
+    spark.createDataFrame(texts, "doc_id long, t string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(embedding, "TASK_BYTES", max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 37))
+    got = embedding.bucket_sums(df, "doc_id", "t", 8)
+    want = df.select("doc_id", F.explode(embedding.signed_buckets(F.col("t"), 8)).alias("c")).groupBy("doc_id", (F.abs("c") - 1).cast("long").alias("bucket")).agg(F.sum(F.signum("c")).cast("long").alias("value"))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(got) == key(want)
+    # Tasks follow the bytes of the input, so what one holds doesn't grow with it.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert int(re.search(r"hashpartitioning\(k#\d+L?, (\d+)\)", plan)[1]) in (37, 38) and "HashAggregate" not in plan
+
+
+def test_search_hashes_tokens_and_sends_few_rows(spark, monkeypatch):
+    rows = [(i, f"w{i % 50} w{i % 7} common", "", "", "high") for i in range(400)]
+    chunks, q = chunk_rows(spark, rows).coalesce(1), asked(spark, "w3 common", "w5 w2", "nothing", "w11 w4 common")
+    told = chunks.withColumn("codes", embedding.word_tokens(F.col("text"))), q.withColumn("codes", embedding.word_tokens(F.col("question")))
+    coded = chunks.withColumn("codes", embedding.signed_buckets(F.col("text")))
+    ask = lambda c, q: [tuple(r) for r in retrieval.search(q, c, 5).select("qid", "rank", "position", "embedding_score").orderBy("qid", "rank").collect()]
+    want = ask(coded, q)
+    assert len(want) == 20 and ask(*told) == want
+
+    def no(*a, **b):
+        raise AssertionError
+
+    with monkeypatch.context() as m:  # more questions than are broadcast at once: rounds, not blocks
+        m.setattr(retrieval, "search_blocks", no)
+        m.setattr(retrieval, "MOST_QUESTIONS", 2)
+        assert ask(*told) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        monkeypatch.setattr(retrieval, "_best", lambda df, k: df)
+        assert retrieval.search(q, coded, 5).count() == 20  # a task sends its best once, not those of each batch
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
