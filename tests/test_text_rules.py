@@ -116,3 +116,30 @@ def test_taxonomy(spark):
 def test_quality(spark):
     df = spark.createDataFrame([(0, "text", "w " * 200), (1, "text", "w" * 400), (2, "text", "w" * 1501), (3, "text", "w" * 10), (4, "table_summary", "w" * 10), (5, "table_summary", "w" * 400)], "i int, k string, t string")
     assert [r.q for r in df.select("i", rules.quality_label(F.col("k"), F.col("t")).alias("q")).orderBy("i").collect()] == ["high", "medium", "low", "low", "medium", "high"]
+
+
+def test_texts_without_cross_references_are_spaced_once(spark):
+    """The costly patterns stand in a branch; a text that needs none comes out as the plain chain gives it."""
+    import random
+
+    rng = random.Random(8)
+    bits = ["a", "b", " ", "  ", "\t", "\xa0", "\u2003", "\x1c", "(", "( ", ")", " ,", ".", "’", "–", "table", "refer to x.", "The table below is y.", "\n", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(1500)] + [None, "", " "]
+    blank = T.BLANK
+    plain_strip = lambda x: F.regexp_replace(x, rf"^{blank}+|{blank}+$", "")
+
+    def plain(x):
+        x = F.regexp_replace(F.translate(x, "’“”–—", "'\"\"--"), rf"{blank}+", " ")
+        return plain_strip(F.regexp_replace(F.regexp_replace(x, r" ([,.;:%)])", "$1"), r"\( ", "("))
+
+    def cleaned(x):
+        x = plain(x)
+        for pattern in T.CROSS_REFERENCES:
+            x = F.regexp_replace(x, f"(?i){pattern}", "")
+        return plain(x)
+
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", T.strip(t).alias("s"), plain_strip(t).alias("s2"), T.normalize_spaces(t).alias("n"), plain(t).alias("n2"), T.clean_paragraph(t).alias("c"), cleaned(t).alias("c2")).collect()
+    assert all((r.s, r.n, r.c) == (r.s2, r.n2, r.c2) for r in got)
+    assert not any(n not in " ".join(T.NEEDLES) for n in T.ANY_NEEDLE) and all(any(a in n for a in T.ANY_NEEDLE) for n in T.NEEDLES)
