@@ -17,9 +17,12 @@ Training takes all documents outside the held-out tenth:
 1. Every task adds up the counts of its share of the texts in whole tables, and sends
    their slots that aren't 0; tables are added up segment by segment. What reaches
    the driver, and is broadcast, are tables of two bytes a slot, whatever the input.
-2. The weights of the gates are fitted by Newton's method to ``CALIBRATION`` training
-   documents at most (of ``CALIBRATION_BYTES`` each at most, the first by a hash of id
-   and text), which stay out of the tables, as a text that is counted there looks too well known.
+2. The weights of the gates are fitted by Newton's method to all training documents. A
+   text that is counted in a table looks too well known there, so the documents are split
+   into two halves by a hash of id and text, and each half is predicted from the counts of
+   the other. What the fit needs are the numbers of bits by gate and by the log-odds of
+   each predictor, on ``LEVELS`` of them: a table of a fixed size, which tasks add up.
+   The scores use the counts of both halves, and their log-odds as they are.
 
 Beside the model stands the smoothed word unigram (``base_score``). Words of a
 ``HOT``-th of all tokens or more, at most that many, are broadcast; all others are
@@ -51,8 +54,11 @@ LEAD = 40  # bytes before a piece that its contexts may reach
 WORD = 32  # bytes of a word that its context holds, the last ones
 BLOCK = 1 << 17  # a multiple of CHUNK, so that pieces end where chunks do
 CHUNK = 512
+SLICE = 1 << 13  # symbols that are looked up at once
 STEP = 0.08
-CALIBRATION, CALIBRATION_BYTES = 256, 1 << 14
+CALIBRATION = 8  # Newton's steps
+#: Of log-odds for what they favour, 0 to 7; those against it are as many again. Each stands for all that are nearest to it.
+LEVELS = np.array([0, 0.5, 1.1, 1.9, 3, 4.5, 6.5, 9.5])
 HOT = 20_000
 SCALE = 512  # log-odds of 1 in the tables
 SEEN = (0, 3, 20)  # what a slot was seen more often than, by its confidence from 1 on
@@ -171,132 +177,250 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
+_HALF = np.arange(16)
+
+
+def along(table: np.ndarray, turned, kind) -> np.ndarray:
+    """For each half of a byte after each context its four slots of ``table`` as one number, so that one look finds them.
+
+    ``turned`` (slots, sign) makes ``kind`` of the slots of a bit, for the bit that came: the sign is 1 or -1 by half.
+    """
+    table = table.reshape(-1, 16)
+    out = np.empty((len(table), 16, 4), kind)
+    for lo in range(0, len(table), 1 << 14):
+        for j in range(4):
+            out[lo : lo + (1 << 14), :, j] = turned(table[lo : lo + (1 << 14), 16 + _HALF >> 4 - j], ((_HALF >> 3 - j & 1) * 2 - 1).astype(table.dtype))
+    return out.reshape(-1).view(f"u{4 * out.itemsize}")
+
+
+def found(paths: list[np.ndarray], bits: tuple[int, ...], symbol: np.ndarray, context: np.ndarray) -> Iterator[np.ndarray]:
+    """What ``paths`` hold for the two halves of each symbol, context by context."""
+    half = np.stack([symbol >> 4, symbol & 15], 1)
+    for c, path in enumerate(paths):
+        yield path.take(places(symbol, context[c], bits[c]) + half, mode="clip")
+
+
+def levels(odds: np.ndarray) -> np.ndarray:
+    """A byte for each slot of ``log_odds``: the level of the log-odds, 7 being none, and above it how sure they are."""
+    size = np.searchsorted((LEVELS[1:] + LEVELS[:-1]) / 2 * SCALE, np.abs(odds >> 2)).astype(np.int8)
+    return (np.where(odds < 0, 7 - size, 7 + size) | (odds & 3) << 4).astype(np.int8)
+
+
+def count_levels(texts, paths: list[np.ndarray], bits: tuple[int, ...], into: np.ndarray) -> None:
+    """Adds the bits of texts to ``into`` (bits of a byte by keys of ``fit_levels``)."""
+    for piece in pieces(texts):
+        three, five, word = (p.view(np.uint8) for p in found(paths, bits, piece.symbol, piece.context))
+        key = five.astype(np.uint16)
+        key <<= np.uint16(6)
+        key |= word
+        key <<= np.uint16(4)
+        key |= three & np.uint8(15)  # the level alone of the shortest context
+        key = key.reshape(-1, 8)
+        for j in range(8):
+            into[j] += np.bincount(key[:, j], minlength=1 << 16)
+
+
 class Model:
     """Tables of log-odds, one for each context, and the weights of the gates."""
 
     def __init__(self, tables: list[np.ndarray], bits: tuple[int, ...]):
         self.tables, self.bits = tables, bits
         self.weight = np.full((8 * 16, len(CONTEXTS)), 0.3, np.float32)
+        self._paths = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_paths": None}  # tasks make them of the tables, which are smaller
+
+    def looked(self, symbol: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The gate of each bit, and by context the log-odds of the bit that came, in ``SCALE``."""
+        if self._paths is None:
+            self._paths = [along(t, lambda got, sign: (got >> 2) * sign << 2 | got & 3, np.int16) for t in self.tables]
+        gate, odds = np.tile((_J[0] * 16).astype(np.int16), len(symbol)), []
+        for c, got in enumerate(found(self._paths, self.bits, symbol, context)):
+            got = got.view(np.int16).ravel()
+            if c >= len(CONTEXTS) - 2:
+                gate += (got & np.int16(3)) << np.int16(2 * (len(CONTEXTS) - 1 - c))
+            got >>= np.int16(2)
+            odds.append(got)
+        return gate.astype(np.intp), odds
 
     def inputs(self, symbol: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log-odds of the predictors: contexts, symbols, bits; the gate of each bit; the bits as 1 and -1)."""
-        n = len(symbol)
-        node = _NODE.take(symbol, 0)
-        x, gate = np.empty((len(CONTEXTS), n, 8), np.float32), np.tile(_J[0] * 16, n).reshape(n, 8)
-        for c in range(len(CONTEXTS)):
-            at = np.repeat(places(symbol, context[c], self.bits[c]).ravel(), 4).reshape(n, 8)
-            at += node
-            got = self.tables[c].take(at)
-            if c >= len(CONTEXTS) - 2:
-                gate += (got & 3) << 2 * (len(CONTEXTS) - 1 - c)
-            got >>= 2
-            np.multiply(got, np.float32(1 / SCALE), out=x[c], casting="unsafe")
-        return x, gate, _SIGN.take(symbol, 0)
+        n, sign = len(symbol), _SIGN.take(symbol, 0)
+        gate, odds = self.looked(symbol, context)
+        return np.stack(odds).reshape(-1, n, 8) * (sign / np.float32(SCALE)), gate.reshape(n, 8), sign
 
     def fit(self, texts) -> None:
-        """The weights of the gates, by Newton's method with a pull towards where they began."""
-        parts = [self.inputs(p.symbol, p.context) for p in pieces(texts)]
-        if not parts:
-            return
-        gate = np.concatenate([g.ravel() for _, g, _ in parts])
-        order = np.argsort(gate, kind="stable")
-        x = np.concatenate([p.reshape(len(CONTEXTS), -1) for p, _, _ in parts], 1)[:, order]
-        sign = np.concatenate([s.ravel() for _, _, s in parts])[order]
-        edges = np.searchsorted(gate[order], np.arange(len(self.weight) + 1))
-        for g, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        """The weights of the gates from texts, by the model's own tables."""
+        paths, into = level_paths([levels(t) for t in self.tables]), np.zeros((8, 1 << 16), np.int64)
+        count_levels(texts, paths, self.bits, into)
+        self.fit_levels(into)
+
+    def fit_levels(self, counts: np.ndarray, steps: int = CALIBRATION) -> None:
+        """The weights of the gates by Newton's method, with a pull towards where they began.
+
+        ``counts`` of bits by their place in the byte and a key: how sure the second context is, its level, the same of the
+        third, the level of the first; of levels for the bit that came.
+        """
+        value = np.concatenate([-LEVELS[:0:-1], LEVELS, [0.0]])
+        by = counts.reshape(8, 4, 16, 4, 16, 16).transpose(0, 1, 3, 5, 2, 4).reshape(len(self.weight), -1)  # gate by levels of all contexts
+        every = np.stack([v.ravel() for v in np.meshgrid(value, value, value, indexing="ij")])
+        for g in range(len(self.weight)):
+            some = np.flatnonzero(by[g])
+            own, n = every[:, some], by[g][some].astype(np.float64)
             start = self.weight[g].astype(np.float64)
-            weight, own, s = start.copy(), x[:, lo:hi], sign[lo:hi]
-            for _ in range(8):
-                p = 1 / (1 + np.exp(np.clip(s * (weight.astype(np.float32) @ own), -40, 40)))
-                slope = (own @ (s * p)).astype(np.float64) - 2.0 * (weight - start)
-                curve = ((own * (p * (1 - p))) @ own.T).astype(np.float64) + 2.0 * np.eye(len(weight))
+            weight = start.copy()
+            for _ in range(steps):
+                p = 1 / (1 + np.exp(np.clip(weight @ own, -40, 40)))
+                slope = own @ (n * p) - 2.0 * (weight - start)
+                curve = (own * (n * p * (1 - p))) @ own.T + 2.0 * np.eye(len(weight))
                 weight += np.clip(np.linalg.solve(curve, slope), -1, 1)
             self.weight[g] = weight
 
     def cost(self, texts, rows: int, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
         """(bits, symbols) that the texts cost and have."""
         bits, symbols = np.zeros(rows), np.zeros(rows, np.int64)
+        weights = np.ascontiguousarray(self.weight.T) / np.float32(-SCALE)  # for the log-odds of the other bit
         share, seen = np.ones((len(CONTEXTS), rows), np.float32), np.full((len(CONTEXTS), rows), 1e-3, np.float32)
         for piece in pieces(texts):
             if not len(piece.symbol):
                 continue
-            turn = piece.place // CHUNK
-            order = np.argsort(turn, kind="stable")
-            odds, gate, sign = self.inputs(piece.symbol[order], piece.context[:, order])
-            x, sign = np.empty((len(CONTEXTS), 8, len(order)), np.float32), np.ascontiguousarray(sign.T)  # bits by symbols: long rows for what follows
-            for c, weight in enumerate(np.ascontiguousarray(self.weight.T)):
-                np.multiply(odds[c].T, weight.take(gate).T, out=x[c])
-            row, turn = piece.row[order], turn[order]
+            turn = (piece.place - piece.place.min() // CHUNK * CHUNK) // CHUNK
+            order = np.argsort(turn.astype(np.uint16), kind="stable")  # a piece has few turns
+            symbol, context, row, turn = piece.symbol[order], piece.context[:, order], piece.row[order], turn[order]
+            x = np.empty((len(CONTEXTS), len(order) * 8), np.float32)
+            for lo in range(0, len(order), SLICE):
+                gate, odds = self.looked(symbol[lo : lo + SLICE], context[:, lo : lo + SLICE])
+                for c, weight in enumerate(weights):
+                    np.multiply(odds[c], weight.take(gate, mode="clip"), out=x[c, lo * 8 : (lo + SLICE) * 8])
             symbols += np.bincount(row, minlength=rows)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(turn)) + 1, [len(turn)]])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                own, part, s = row[lo:hi], x[:, :, lo:hi], sign[:, lo:hi]
-                first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-                which = own[first]
-                z = part[0] * share[0, own]
-                for c in range(1, len(CONTEXTS)):
-                    z += part[c] * share[c, own]
-                z *= s
-                away = np.exp(np.clip(-z, -40, 40, out=z), out=z)
-                away += np.float32(1)
-                bits[which] += np.add.reduceat(np.log(away).sum(0, dtype=np.float64), first) / np.log(2)
-                error = s - s / away
-                slope = np.add.reduceat(np.stack([(error * p).sum(0) for p in part]), first, 1)
+            new = np.concatenate([[True], np.diff(turn) != 0])
+            begin = np.concatenate([[True], np.diff(row) != 0]) | new
+            first, edges = np.flatnonzero(begin), np.append(np.flatnonzero(new), len(row))
+            size, at = np.diff(first, append=len(row)) * 8, np.searchsorted(first, edges)
+            for lo, hi, a, b in zip(edges[:-1] * 8, edges[1:] * 8, at[:-1], at[1:], strict=True):
+                which, own, part = row[first[a:b]], first[a:b] * 8 - lo, x[:, lo:hi]
+                fresh = (share[:, which] == 1).all()
+                z = part[0] + part[1] if fresh else part[0] * np.repeat(share[0, which], size[a:b])
+                for c in range(2 if fresh else 1, len(CONTEXTS)):
+                    z += part[c] if fresh else part[c] * np.repeat(share[c, which], size[a:b])
+                away = np.exp(np.minimum(z, np.float32(40), out=z), out=z)
+                sure = away + np.float32(1)
+                error = np.divide(away, sure, out=away)
+                pairs = sure[0::2] * sure[1::2]
+                bits[which] += np.add.reduceat(np.log(pairs, out=pairs), own >> 1) / np.log(2)
+                slope = np.stack([np.add.reduceat(np.multiply(error, p, out=sure), own) for p in part])
                 seen[:, which] += slope * slope
-                share[:, which] += np.float32(step) * slope / np.sqrt(seen[:, which])
+                share[:, which] -= np.float32(step) * slope / np.sqrt(seen[:, which])
         return bits, symbols
 
 
-def _tables(docs: DataFrame, bits: tuple[int, ...]) -> list[np.ndarray]:
-    """Log-odds of all contexts, from the texts of all documents."""
+def level_paths(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """What ``count_levels`` looks into, of tables of ``levels``."""
+    return [along(t, lambda got, sign: ((got & 15) - 7) * sign + 7 | got & 48, np.uint8) for t in tables]
+
+
+class Halves:
+    """Levels of the two halves of the training documents, made ready in each Python worker once."""
+
+    def __init__(self, tables: list[list[np.ndarray]], bits: tuple[int, ...]):
+        self.tables, self.bits, self._paths = tables, bits, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_paths": None}
+
+    def count(self, texts, half: int, into: np.ndarray) -> None:
+        """Adds texts of one half, by what is known from the other."""
+        if self._paths is None:
+            self._paths = [level_paths(t) for t in self.tables]
+        count_levels(texts, self._paths[1 - half], self.bits, into)
+
+
+def _by_half(batch) -> Iterator[tuple[int, object]]:
+    import pyarrow as pa
+
+    half = batch.column("__half").to_numpy()
+    for h in (0, 1):
+        texts = batch.column("__text").filter(pa.array(half == h))
+        if len(texts):
+            yield h, texts
+
+
+def _tables(docs: DataFrame, bits: tuple[int, ...]) -> tuple[list[np.ndarray], Halves]:
+    """Log-odds of all contexts, from the texts of all documents, and their levels in each half of them."""
     import pyarrow as pa
 
     spark, size = docs.sparkSession, 1 << SEGMENT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, some = empty_counts(bits), False
+        own: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            count_halves(b.column("__text"), bits, own)
-            some = some or b.num_rows > 0
-        for c, table in enumerate(own if some else []):
-            for part in range(len(table) // size):
-                counts = table[part * size : (part + 1) * size]
-                at = np.flatnonzero(counts)
-                if len(at):
-                    gaps = np.diff(at, prepend=0).astype(np.uint32)
-                    numbers = [pa.array([v], pa.int32()) for v in (c, part)]
-                    yield pa.RecordBatch.from_arrays([*numbers, pa.array([gaps.tobytes()]), pa.array([counts[at].tobytes()])], names=["context", "part", "gaps", "n"])
+            for half, texts in _by_half(b):
+                if half not in own:
+                    own[half] = empty_counts(bits)
+                count_halves(texts, bits, own[half])
+        for half, c, part in ((h, c, p) for h in own for c in range(len(bits)) for p in range(-(-len(own[h][c]) // size))):
+            counts = own[half][c][part * size : (part + 1) * size]
+            at = np.flatnonzero(counts)
+            if len(at):
+                gaps = np.diff(at, prepend=0).astype(np.uint32)
+                numbers = [pa.array([v], pa.int32()) for v in (c, part, half)]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array([gaps.tobytes()]), pa.array([counts[at].tobytes()])], names=["context", "part", "half", "gaps", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for c, part, gaps, n in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+            for c, part, half, gaps, n in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                 if (c, part) not in sums:
-                    sums[c, part] = np.zeros(size, np.int64)
-                sums[c, part][np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64)] += np.frombuffer(n, np.uint32)
-        for (c, part), total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part], pa.int32()), pa.array([log_odds(total).tobytes()])], names=["context", "part", "odds"])
-
+                    sums[c, part] = np.zeros((2, min(size, 1 << bits[c])), np.int64)
+                sums[c, part][half][np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64)] += np.frombuffer(n, np.uint32)
+        for (c, part), halves in sums.items():
+            out = [log_odds(halves.sum(0)), *[levels(log_odds(h)) for h in halves]]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part], pa.int32()), *[pa.array([t.tobytes()]) for t in out]], names=["context", "part", "odds", "one", "two"])
+
+    counts = _few(docs).mapInArrow(count, "context int, part int, half int, gaps binary, n binary")
+    out, halves = [np.zeros(1 << b, np.int16) for b in bits], [[np.full(1 << b, 7, np.int8) for b in bits] for _ in range(2)]
+    for r in counts.repartition("context", "part").mapInArrow(add, "context int, part int, odds binary, one binary, two binary").toLocalIterator():
+        c, part = r["context"], slice(r["part"] * size, (r["part"] + 1) * size)
+        out[c][part], halves[0][c][part], halves[1][c][part] = np.frombuffer(r["odds"], np.int16), np.frombuffer(r["one"], np.int8), np.frombuffer(r["two"], np.int8)
+    return out, Halves(halves, bits)
+
+
+def _few(docs: DataFrame) -> DataFrame:
+    """In tasks of up to a GB, as each sends a table."""
     stats = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, stats >> 30))  # each task sends a table, so tasks of up to a GB
-    counts = docs.coalesce(most).mapInArrow(count, "context int, part int, gaps binary, n binary")
-    out = [np.zeros(1 << b, np.int16) for b in bits]
-    for r in counts.repartition("context", "part").mapInArrow(add, "context int, part int, odds binary").toLocalIterator():
-        out[r["context"]][r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["odds"], np.int16)
-    return out
+    return docs.coalesce(min(1 << 20, max(2 * docs.sparkSession.sparkContext.defaultParallelism, stats >> 30)))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: tuple[int, ...] = BITS, calibration: int = CALIBRATION) -> Model:
-    """A model of the texts of all documents outside the held-out tenth."""
+def _levels(docs: DataFrame, halves: Halves) -> np.ndarray:
+    """The bits of all documents for ``Model.fit_levels``, each half by the counts of the other."""
     import pyarrow as pa
 
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = np.zeros((8, 1 << 16), np.int64)
+        for b in batches:
+            for half, texts in _by_half(b):
+                shared.value.count(texts, half, into)
+        flat = into.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["cell", "n"])
+
+    got = _few(docs).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 8 << 16 rows at most
+    shared.destroy()
+    out = np.zeros(8 << 16, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(8, -1)
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: tuple[int, ...] = BITS, calibration: int = CALIBRATION) -> Model:
+    """A model of the texts of all documents outside the held-out tenth; ``calibration``: Newton's steps for the gates."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), F.xxhash64(key, text).alias("__own"), held_out(F.col(key)).alias("__out")).where("NOT __out")
-    first = rows.where(F.octet_length("__text") <= CALIBRATION_BYTES).select("__own").orderBy("__own").limit(calibration).collect()
-    own = sorted({r["__own"] for r in first})
-    chosen = rows.where(F.col("__own").isin(own)).dropDuplicates(["__own"]).orderBy("__own").select("__text").collect() if own else []
-    model = Model(_tables((rows.where(~F.col("__own").isin(own)) if own else rows).select("__text"), bits), bits)
-    model.fit(pa.array([r["__text"] for r in chosen], pa.large_string()))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), F.pmod(F.xxhash64(key, text), F.lit(2)).cast("int").alias("__half"), held_out(F.col(key)).alias("__out")).where("NOT __out").drop("__out")
+    tables, halves = _tables(rows, bits)
+    model = Model(tables, bits)
+    model.fit_levels(_levels(rows, halves), calibration)
     return model
 
 

@@ -121,3 +121,31 @@ def test_nothing_to_learn_from(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert [r.score for r in rows] == pytest.approx([-8 * math.log10(2), -32 * math.log10(2)])
     assert cm.score(df.limit(0), cm.train(df.limit(0))).count() == 0
+
+
+def test_all_training_documents_are_counted_and_weighed(spark):
+    long = [(i, f"alpha {i} beta gamma " * 900) for i in range(12)]  # too long for a small sample
+    assert len(long[0][1]) > 1 << 14
+    docs = spark.createDataFrame([*long, (20, "delta epsilon")], "doc_id long, text string")
+    rows = docs.selectExpr("text AS __text", "pmod(xxhash64(doc_id, text), 2) AS __half").where(~cm.held_out(docs.doc_id))
+    bits = (12, 14, 14)
+    tables, halves = cm._tables(rows, bits)
+    kept = [[r["__text"] for r in rows.collect() if r["__half"] == h] for h in (0, 1)]
+    assert all((a == b).all() for a, b in zip(tables, small_model(kept[0] + kept[1], bits).tables, strict=True))
+    levels = cm._levels(rows, halves)
+    assert levels.sum() == 8 * sum(len(t) + 1 for k in kept for t in k)
+    want = np.zeros_like(levels)
+    for own, other in (kept, kept[::-1]):
+        cm.count_levels(pa.array(own, pa.large_string()), cm.level_paths([cm.levels(t) for t in small_model(other, bits).tables]), bits, want)
+    assert (levels == want).all()
+    assert abs(cm.train(docs, bits=bits).weight - 0.3).max() > 0.1
+
+
+def test_the_fit_finds_the_better_predictor():
+    """Bits of the gate of the first bit and no confidence: one predictor is right nine times of ten at log-odds of 1.9, the others say nothing of it."""
+    counts = np.zeros((8, 4, 16, 4, 16, 16), np.int64)
+    counts[0, 0, 7, 0, 7, 7 + 3], counts[0, 0, 7, 0, 7, 7 - 3] = 9000, 1000
+    model = small_model([])
+    model.fit_levels(counts.reshape(8, -1))
+    assert model.weight[0] == pytest.approx([math.log(9) / 1.9, 0.3, 0.3], abs=0.01)
+    assert (model.weight[1:] == np.float32(0.3)).all()
