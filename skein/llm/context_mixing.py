@@ -54,7 +54,7 @@ LEAD = 40  # bytes before a piece that its contexts may reach
 WORD = 32  # bytes of a word that its context holds, the last ones
 BLOCK = 1 << 17  # a multiple of CHUNK, so that pieces end where chunks do
 CHUNK = 512
-SLICE = 1 << 13  # symbols that are looked up at once
+SLICE, GROUP = 1 << 13, 1 << 13  # symbols that are looked up, and mixed, at once
 STEP = 0.08
 CALIBRATION = 8  # Newton's steps
 #: Of log-odds for what they favour, 0 to 7; those against it are as many again. Each stands for all that are nearest to it.
@@ -91,27 +91,33 @@ def _piece(data: np.ndarray, offs: np.ndarray, first_row: int, skip: int, done:
     else:
         symbol = data
     n = len(symbol)
-    row = np.repeat(np.arange(n_rows), np.diff(offs))
-    own = np.arange(n) - offs[row]  # bytes of the same text before each symbol, in this piece
-    past = np.zeros((5, n), np.uint32)
-    for k in range(1, 6):
-        past[k - 1, k:] = symbol[: max(n - k, 0)]
-        for skip_k in range(k):  # what lies before a text
-            at = offs[:-1] + skip_k
-            past[k - 1][at[at < offs[1:]]] = 0
+    at, size = np.arange(n), np.diff(offs)
+    row = np.repeat(np.arange(n_rows), size)
+    own = at - np.repeat(offs[:-1], size)  # bytes of the same text before each symbol, in this piece
+    wide, past = symbol.astype(np.uint32), np.zeros((3, n), np.uint32)  # the last three bytes, the one before, and the one before that
+    for k in (1, 2, 3):
+        past[0, k:] |= wide[: max(n - k, 0)] << np.uint32(8 * k - 8)
+    for k in (4, 5):
+        past[k - 3, k:] = wide[: max(n - k, 0)]
+    for k in range(5):  # what lies before a text
+        begin = offs[:-1] + k
+        begin = begin[begin < offs[1:]]
+        past[0, begin] &= np.uint32((1 << 8 * min(k, 3)) - 1)
+        past[1, begin] = 0 if k < 4 else past[1, begin]
+        past[2, begin] = 0
     words = tokens.Words(symbol, offs, tokens.ALNUM)
-    at = np.arange(n)
-    which = np.zeros(n + 1, np.int64)  # words that begin before each symbol
-    which[words.start + 1] = 1
-    which = np.cumsum(which)[:n] - 1
-    start = words.start[np.maximum(which, 0)] if len(words.start) else np.zeros(n, np.int64)
-    inside = (which >= 0) & (words.end[np.maximum(which, 0)] >= at) & (start >= offs[row]) if len(words.start) else np.zeros(n, bool)
-    start = np.where(inside, np.maximum(start, at - WORD), at)
+    inside = np.zeros(n, bool)  # behind a byte of a word of the same text
+    inside[1:] = tokens.ALNUM[symbol[:-1]]
+    inside &= own > 0
+    start = np.repeat(np.append(0, words.start), np.diff(np.concatenate([[0], words.start + 1, [n]])))
+    np.maximum(start, at - WORD, out=start)
     with np.errstate(over="ignore"):
-        two = past[0] | past[1] << np.uint32(8)
-        three = two | past[2] << np.uint32(16)
-        five = (three | past[3] << np.uint32(24)) * np.uint32(0x2C1B3C6D) ^ (past[4] + np.uint32(1)) * np.uint32(0x297A2D39)
-        word = np.where(inside, words.stretch(start, at), np.uint64(0)).astype(np.uint32)
+        three = past[0]
+        five = (three | past[1] << np.uint32(24)) * np.uint32(0x2C1B3C6D) ^ (past[2] + np.uint32(1)) * np.uint32(0x297A2D39)
+        word = words.sums(start, at)
+        word *= np.uint64(0xD6E8FEB86659FD93)
+        word >>= np.uint64(32)
+        word = word.astype(np.uint32) * inside
         context = np.stack([three, five, word])
         for c, salt in enumerate(_SALTS):
             h = (context[c] + salt) * np.uint32(0x85EBCA6B)
@@ -296,8 +302,9 @@ class Model:
             symbols += np.bincount(row, minlength=rows)
             new = np.concatenate([[True], np.diff(turn) != 0])
             begin = np.concatenate([[True], np.diff(row) != 0]) | new
-            first, edges = np.flatnonzero(begin), np.append(np.flatnonzero(new), len(row))
-            size, at = np.diff(first, append=len(row)) * 8, np.searchsorted(first, edges)
+            first = np.flatnonzero(begin)
+            group = new[first] | np.concatenate([[True], np.diff(first // GROUP) != 0])  # texts of one turn that fit the cache
+            size, edges, at = np.diff(first, append=len(row)) * 8, np.append(first[group], len(row)), np.append(np.flatnonzero(group), len(first))
             for lo, hi, a, b in zip(edges[:-1] * 8, edges[1:] * 8, at[:-1], at[1:], strict=True):
                 which, own, part = row[first[a:b]], first[a:b] * 8 - lo, x[:, lo:hi]
                 fresh = (share[:, which] == 1).all()

@@ -149,3 +149,13 @@ def test_the_fit_finds_the_better_predictor():
     model.fit_levels(counts.reshape(8, -1))
     assert model.weight[0] == pytest.approx([math.log(9) / 1.9, 0.3, 0.3], abs=0.01)
     assert (model.weight[1:] == np.float32(0.3)).all()
+
+
+def test_groups_of_texts_that_are_mixed_at_once_change_nothing(monkeypatch):
+    texts = [f"word{i} other{i * i} " * (i * 7 % 90) for i in range(40)]
+    model = small_model(texts[::2])
+    whole = bits_of(model, *texts)
+    for group, part in ((1, 1 << 13), (700, 64)):
+        monkeypatch.setattr(cm, "GROUP", group)
+        monkeypatch.setattr(cm, "SLICE", part)
+        assert bits_of(model, *texts) == pytest.approx(whole, rel=1e-5)
