@@ -421,3 +421,14 @@ def test_search_hashes_tokens_and_sends_few_rows(spark, monkeypatch):
         assert retrieval.search(q, coded, 5).count() == 20  # a task sends its best once, not those of each batch
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_the_search_deals_documents_in_tasks_that_follow_the_input(spark, monkeypatch):
+    from skein.plans import tables
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tables, "DEALT", 1 << 12)
+    few = tables.chunks(spark, folder).select("chunk_id", "text")
+    many = tables.chunks(spark, folder, deal=True).select("chunk_id", "text")
+    assert tables.indexed(spark, folder).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
