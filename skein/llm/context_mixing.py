@@ -54,7 +54,8 @@ LEAD = 40  # bytes before a piece that its contexts may reach
 WORD = 32  # bytes of a word that its context holds, the last ones
 BLOCK = 1 << 17  # a multiple of CHUNK, so that pieces end where chunks do
 CHUNK = 512
-SLICE, GROUP = 1 << 13, 1 << 13  # symbols that are looked up, and mixed, at once
+SLICE, GROUP = 1 << 14, 1 << 13  # symbols that are looked up, and mixed, at once
+SORTED = 1 << 23  # bytes of texts that are put in order of their length at once
 STEP = 0.08
 CALIBRATION = 8  # Newton's steps
 #: Of log-odds for what they favour, 0 to 7; those against it are as many again. Each stands for all that are nearest to it.
@@ -72,30 +73,40 @@ def held_out(key: Column) -> Column:
 
 @dataclass
 class Piece:
-    """Symbols to be predicted: their context hashes (contexts by symbols), their row and their place in the text."""
+    """Symbols to be predicted: their context hashes (contexts by symbols), and on demand their row and their place in the text."""
 
     symbol: np.ndarray
     context: np.ndarray
-    row: np.ndarray
-    place: np.ndarray
+    offs: np.ndarray  # of the texts, in symbols, those of ``skip`` too
+    first_row: int
+    skip: int
+    done: int
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(self.first_row, self.first_row + len(self.offs) - 1), np.diff(self.offs))[self.skip :]
+
+    @property
+    def place(self) -> np.ndarray:
+        before = self.offs[:-1].copy()
+        before[:1] -= self.done
+        return (np.arange(self.offs[-1]) - np.repeat(before, np.diff(self.offs)))[self.skip :]
 
 
 def _piece(data: np.ndarray, offs: np.ndarray, first_row: int, skip: int, done: int, ends: bool) -> Piece:
     """Of the texts between ``offs``; the first ``skip`` bytes are context alone, ``done`` bytes of the first text came before ``data``."""
     n_rows = len(offs) - 1
     if ends:  # an end mark after each text
-        symbol = np.full(len(data) + n_rows, END, np.uint8)
-        at = np.arange(len(data)) + np.repeat(np.arange(n_rows), np.diff(offs))
-        symbol[at] = data
         offs = offs + np.arange(n_rows + 1)
+        symbol, text = np.full(len(data) + n_rows, END, np.uint8), np.ones(len(data) + n_rows, bool)
+        text[offs[1:] - 1] = False
+        symbol[text] = data
     else:
         symbol = data
     n = len(symbol)
-    at, size = np.arange(n), np.diff(offs)
-    row = np.repeat(np.arange(n_rows), size)
-    own = at - np.repeat(offs[:-1], size)  # bytes of the same text before each symbol, in this piece
     wide, past = symbol.astype(np.uint32), np.zeros((3, n), np.uint32)  # the last three bytes, the one before, and the one before that
-    for k in (1, 2, 3):
+    past[0, 1:] = wide[: max(n - 1, 0)]
+    for k in (2, 3):
         past[0, k:] |= wide[: max(n - k, 0)] << np.uint32(8 * k - 8)
     for k in (4, 5):
         past[k - 3, k:] = wide[: max(n - k, 0)]
@@ -105,25 +116,22 @@ def _piece(data: np.ndarray, offs: np.ndarray, first_row: int, skip: int, done:
         past[0, begin] &= np.uint32((1 << 8 * min(k, 3)) - 1)
         past[1, begin] = 0 if k < 4 else past[1, begin]
         past[2, begin] = 0
-    words = tokens.Words(symbol, offs, tokens.ALNUM)
-    inside = np.zeros(n, bool)  # behind a byte of a word of the same text
-    inside[1:] = tokens.ALNUM[symbol[:-1]]
-    inside &= own > 0
-    start = np.repeat(np.append(0, words.start), np.diff(np.concatenate([[0], words.start + 1, [n]])))
-    np.maximum(start, at - WORD, out=start)
+    context = np.empty((len(CONTEXTS), n), np.uint32)
     with np.errstate(over="ignore"):
-        three = past[0]
-        five = (three | past[1] << np.uint32(24)) * np.uint32(0x2C1B3C6D) ^ (past[2] + np.uint32(1)) * np.uint32(0x297A2D39)
-        word = words.sums(start, at)
-        word *= np.uint64(0xD6E8FEB86659FD93)
-        word >>= np.uint64(32)
-        word = word.astype(np.uint32) * inside
-        context = np.stack([three, five, word])
-        for c, salt in enumerate(_SALTS):
-            h = (context[c] + salt) * np.uint32(0x85EBCA6B)
+        context[0] = past[0]
+        past[1] <<= np.uint32(24)
+        past[1] |= past[0]
+        past[1] *= np.uint32(0x2C1B3C6D)
+        past[2] += np.uint32(1)
+        past[2] *= np.uint32(0x297A2D39)
+        np.bitwise_xor(past[1], past[2], out=context[1])
+        context[2] = tokens.Words(symbol, offs, tokens.ALNUM).so_far(WORD, np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+        for h, salt in zip(context, _SALTS, strict=True):
+            h += salt
+            h *= np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(15)
-            context[c] = h * np.uint32(0xC2B2AE35)
-    return Piece(symbol[skip:], context[:, skip:], row[skip:] + first_row, (own + np.where(row == 0, done, 0))[skip:])
+            h *= np.uint32(0xC2B2AE35)
+    return Piece(symbol[skip:], context[:, skip:], offs, first_row, skip, done)
 
 
 def pieces(texts) -> Iterator[Piece]:
@@ -145,16 +153,26 @@ _NIBBLE = np.where(_J < 4, _SYMBOL >> 4, _SYMBOL & 15)
 _NODE, _SIGN = _NIBBLE >> 4 - _J % 4 | 1 << _J % 4, ((_NIBBLE >> 3 - _J % 4 & 1) * 2 - 1).astype(np.float32)
 
 
-def places(symbol: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
-    """Where the 16 slots of the two halves of each symbol begin: four bits look at one place in memory."""
-    out = np.empty((len(symbol), 2), np.int64)
+_PLACE = [np.uint32(k) for k in (0x9E3779B1, 0x27D4EB2F, 13, 0x165667B1, 4)]
+
+
+def places(symbol: np.ndarray, context: np.ndarray, bits: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """By context, the slots of the two halves of each symbol: each is one of 16 that begin at one place in memory."""
+    spread, first, shift, last, four = _PLACE
+    half = np.stack([symbol >> 4, symbol & 15]).astype(np.uint32)
     with np.errstate(over="ignore"):
-        high = (symbol >> 4).astype(np.uint32)
-        for half, h in enumerate((context, context ^ (high + np.uint32(1)) * np.uint32(0x9E3779B1))):
-            h = h * np.uint32(0x27D4EB2F)
-            out[:, half] = ((h ^ h >> np.uint32(13)) * np.uint32(0x165667B1)) >> np.uint32(36 - bits)
-    out <<= 4
-    return out
+        second = (half[0] + 1) * spread
+        for own, b in zip(context, bits, strict=True):
+            h = np.stack([own, own ^ second])
+            h *= first
+            h ^= h >> shift
+            h *= last
+            h >>= np.uint32(36 - b)
+            h <<= four
+            h |= half
+            out = np.empty((len(own), 2), np.int64)
+            out[:, 0], out[:, 1] = h
+            yield out
 
 
 def empty_counts(bits: tuple[int, ...]) -> list[np.ndarray]:
@@ -165,9 +183,8 @@ def empty_counts(bits: tuple[int, ...]) -> list[np.ndarray]:
 def count_halves(texts, bits: tuple[int, ...], into: list[np.ndarray]) -> None:
     """Adds the halves of the bytes of texts to ``into``; the counts of their bits follow from them."""
     for piece in pieces(texts):
-        half = np.stack([piece.symbol >> 4, piece.symbol & 15], 1)
-        for c in range(len(CONTEXTS)):
-            np.add.at(into[c], (places(piece.symbol, piece.context[c], bits[c]) + half).ravel(), np.uint32(1))
+        for counts, at in zip(into, places(piece.symbol, piece.context, bits), strict=True):
+            np.add.at(counts, at.ravel(), np.uint32(1))
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -201,9 +218,8 @@ def along(table: np.ndarray, turned, kind) -> np.ndarray:
 
 def found(paths: list[np.ndarray], bits: tuple[int, ...], symbol: np.ndarray, context: np.ndarray) -> Iterator[np.ndarray]:
     """What ``paths`` hold for the two halves of each symbol, context by context."""
-    half = np.stack([symbol >> 4, symbol & 15], 1)
-    for c, path in enumerate(paths):
-        yield path.take(places(symbol, context[c], bits[c]) + half, mode="clip")
+    for path, at in zip(paths, places(symbol, context, bits), strict=True):
+        yield path.take(at, mode="clip")
 
 
 def levels(odds: np.ndarray) -> np.ndarray:
@@ -285,40 +301,65 @@ class Model:
 
     def cost(self, texts, rows: int, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
         """(bits, symbols) that the texts cost and have."""
+        bits, symbols = np.zeros(rows), np.zeros(rows, np.int64)
+        for lo, hi, _, offs in tokens.blocks(texts, SORTED):
+            part, order = texts.slice(lo, hi - lo), np.argsort(np.diff(offs), kind="stable")
+            # Texts of a length have as many turns, so that those of a piece are mixed in few groups.
+            bits[lo + order], symbols[lo + order] = self._cost(part.take(order) if hi - lo > 1 else part, hi - lo, step)
+        return bits, symbols
+
+    def _cost(self, texts, rows: int, step: float) -> tuple[np.ndarray, np.ndarray]:
         bits, symbols = np.zeros(rows), np.zeros(rows, np.int64)
         weights = np.ascontiguousarray(self.weight.T) / np.float32(-SCALE)  # for the log-odds of the other bit
         share, seen = np.ones((len(CONTEXTS), rows), np.float32), np.full((len(CONTEXTS), rows), 1e-3, np.float32)
+        most, one, step, held = np.float32(40), np.float32(1), np.float32(step), np.empty((len(CONTEXTS), 0), np.float32)
         for piece in pieces(texts):
-            if not len(piece.symbol):
+            n = len(piece.symbol)
+            if not n:
                 continue
-            turn = (piece.place - piece.place.min() // CHUNK * CHUNK) // CHUNK
-            order = np.argsort(turn.astype(np.uint16), kind="stable")  # a piece has few turns
-            symbol, context, row, turn = piece.symbol[order], piece.context[:, order], piece.row[order], turn[order]
-            x = np.empty((len(CONTEXTS), len(order) * 8), np.float32)
-            for lo in range(0, len(order), SLICE):
+            place, row = piece.place, piece.row
+            symbols += np.bincount(row, minlength=rows)
+            turn = ((place - place.min() // CHUNK * CHUNK) // CHUNK).astype(np.uint16)  # a piece has few turns
+            order = np.argsort(turn, kind="stable")
+            symbol, context, row, turn = piece.symbol.take(order), piece.context.take(order, 1), row.take(order), turn.take(order)
+            if held.shape[1] < 8 * n:
+                held = np.empty((len(CONTEXTS), 8 * n), np.float32)
+            x = held[:, : 8 * n]
+            for lo in range(0, n, SLICE):
                 gate, odds = self.looked(symbol[lo : lo + SLICE], context[:, lo : lo + SLICE])
                 for c, weight in enumerate(weights):
                     np.multiply(odds[c], weight.take(gate, mode="clip"), out=x[c, lo * 8 : (lo + SLICE) * 8])
-            symbols += np.bincount(row, minlength=rows)
-            new = np.concatenate([[True], np.diff(turn) != 0])
-            begin = np.concatenate([[True], np.diff(row) != 0]) | new
+            new = np.concatenate([[True], turn[1:] != turn[:-1]])
+            begin = new.copy()
+            begin[1:] |= row[1:] != row[:-1]
             first = np.flatnonzero(begin)
             group = new[first] | np.concatenate([[True], np.diff(first // GROUP) != 0])  # texts of one turn that fit the cache
-            size, edges, at = np.diff(first, append=len(row)) * 8, np.append(first[group], len(row)), np.append(np.flatnonzero(group), len(first))
+            size, edges, at = np.diff(first, append=n) * 8, np.append(first[group], n), np.append(np.flatnonzero(group), len(first))
             for lo, hi, a, b in zip(edges[:-1] * 8, edges[1:] * 8, at[:-1], at[1:], strict=True):
                 which, own, part = row[first[a:b]], first[a:b] * 8 - lo, x[:, lo:hi]
-                fresh = (share[:, which] == 1).all()
-                z = part[0] + part[1] if fresh else part[0] * np.repeat(share[0, which], size[a:b])
-                for c in range(2 if fresh else 1, len(CONTEXTS)):
-                    z += part[c] if fresh else part[c] * np.repeat(share[c, which], size[a:b])
-                away = np.exp(np.minimum(z, np.float32(40), out=z), out=z)
-                sure = away + np.float32(1)
+                shares = share[:, which]
+                if (shares == 1).all():
+                    z = part[0] + part[1]
+                    spare = np.empty_like(z)
+                    for p in part[2:]:
+                        z += p
+                else:
+                    z, spare = part[0] * np.repeat(shares[0], size[a:b]), None
+                    for p, own_share in zip(part[1:], shares[1:], strict=True):
+                        spare = np.repeat(own_share, size[a:b])
+                        spare *= p
+                        z += spare
+                if z.max() > most:
+                    np.minimum(z, most, out=z)
+                away = np.exp(z, out=z)
+                sure = np.add(away, one, out=spare)
                 error = np.divide(away, sure, out=away)
                 pairs = sure[0::2] * sure[1::2]
                 bits[which] += np.add.reduceat(np.log(pairs, out=pairs), own >> 1) / np.log(2)
                 slope = np.stack([np.add.reduceat(np.multiply(error, p, out=sure), own) for p in part])
-                seen[:, which] += slope * slope
-                share[:, which] -= np.float32(step) * slope / np.sqrt(seen[:, which])
+                steps = seen[:, which] + slope * slope
+                seen[:, which] = steps
+                share[:, which] = shares - step * slope / np.sqrt(steps)
         return bits, symbols
 
 

@@ -159,3 +159,37 @@ def test_groups_of_texts_that_are_mixed_at_once_change_nothing(monkeypatch):
         monkeypatch.setattr(cm, "GROUP", group)
         monkeypatch.setattr(cm, "SLICE", part)
         assert bits_of(model, *texts) == pytest.approx(whole, rel=1e-5)
+
+
+def test_texts_are_mixed_in_order_of_length(monkeypatch):
+    """A piece has as many turns as its longest text, so short and long ones that alternate would be mixed in many small groups."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefgh XYZ é"), n)) for n in np.tile([5000, 0] + [400] * 20, 10)]
+    model, seen, pieces = small_model(texts), [], cm.pieces
+
+    def spied(texts):
+        for p in pieces(texts):
+            seen.append(int(p.place.max()) // cm.CHUNK + 1)
+            yield p
+
+    monkeypatch.setattr(cm, "BLOCK", 1 << 15)
+    alone = [model.cost(pa.array([t], pa.large_string()), 1) for t in texts]
+    monkeypatch.setattr(cm, "pieces", spied)
+    bits, symbols = model.cost(pa.array(texts, pa.large_string()), len(texts))
+    assert np.allclose(bits, [b[0] for b, _ in alone], rtol=1e-6) and list(symbols) == [s[0] for _, s in alone]
+    assert sum(seen) < 40  # turns of all pieces
+
+
+def test_words_so_far_are_those_of_their_bytes():
+    from skein.llm import tokens
+
+    texts = ["Ab cd", "", "x" * 70 + " yé", "tail"]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = tokens.Words(data, offs, tokens.ALNUM).so_far(32, np.uint64(3))
+    for lo, hi in zip(offs[:-1], offs[1:], strict=True):
+        for i in range(lo, hi):
+            start = i
+            while start > lo and tokens.ALNUM[data[start - 1]]:
+                start -= 1
+            want = sum(int(tokens.BYTE_VALUE[tokens.LOWER[data[j]]]) * pow(0x9E3779B97F4A7C15, j - max(start, i - 32), 1 << 64) for j in range(max(start, i - 32), i))
+            assert int(got[i]) == want * 3 % (1 << 64)
