@@ -432,3 +432,23 @@ def test_the_search_deals_documents_in_tasks_that_follow_the_input(spark, monkey
     many = tables.chunks(spark, folder, deal=True).select("chunk_id", "text")
     assert tables.indexed(spark, folder).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_plain_texts_are_hashed_without_the_pattern(spark):
+    """Tokens of texts whose bytes beyond ASCII are all of letters are found in numpy; the pattern makes the others'."""
+    import numpy as np
+
+    from skein.functions import text as T
+    from skein.plans import tables
+
+    texts = ["", "Plain words, 12 of_them\n\x00x", "École ÀÉÎ straße ÿ ſ ǅ", "a×b÷c", "’quoted’ — words", "İstanbul ΣΑΣ ὀδός", "Ёлка-42", "中文 abc中", "x²y ½ ªº", "e\u0301", "🙂 smile", "a\u00a0b", "٣ n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = rows.select("id", T.plain_or_tokens(F.col("text")).alias("v"), T.word_tokens(F.col("text")).alias("tokens")).orderBy("id").toArrow()
+    for column in (got.column("v"), got.slice(3).column("v"), got.slice(0, 3).column("v"), got.slice(0, 0).column("v")):
+        first = len(texts) - len(column) if len(column) > 3 else 0
+        codes, size = embedding._flat_codes(column, 64)
+        want, n = embedding._flat_codes(got.column("tokens").slice(first, len(column)), 64)
+        assert list(size) == list(n) and (codes == want).all() and np.sum(size) == len(codes)
+    plain = [r["plain"] is not None for r in got.column("v").to_pylist()]
+    assert plain == [True, True, True, False, False, False, True, True, False, False, False, False, False]
+    assert set(tables.indexed(spark, "/root/testdata/sf0.001").schema["codes"].dataType.names) == {"plain", "tokens"}
