@@ -21,7 +21,7 @@ at which each of its copies is due (``positions``, one for each round; the first
 and sorted by position, the copies follow the whole schedule.
 
 Sums of words run over (source, hash bucket) first and then inside a bucket, so no
-window holds more than 1 / ``BUCKETS`` of a source. Texts are never shuffled.
+window holds more than 1 / ``BUCKETS`` of a source. Texts are shuffled for ``copies`` alone.
 
 Null and empty texts have 0 words and take 0. A null doc_id is laid like the text
 ``null``. Repeated rows are rows of their own, in any order among equals. An empty
@@ -73,18 +73,19 @@ def _place(key: Column) -> Column:
     return F.md5(F.coalesce(key.cast("string"), F.lit("null")))
 
 
-def lay(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Each row's place among its source's words (``at``), whole rounds, extra words of the last round, taken and copies."""
+def lay(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source", whole: bool = False) -> DataFrame:
+    """Each row's place among its source's words (``at``), whole rounds, extra words of the last round, taken and copies; ``whole``: with all of the row as ``row``."""
     place = _place(F.col(key))
-    rows = docs.select(
-        F.col(key).alias("doc_id"), words(F.col(text)).alias("size"), _source(F.col(source)).alias("sk"), place.alias("place"), F.substring(place, 1, BUCKET_HEX).alias("bucket")
-    )
-    rows = Scratch(docs.sparkSession).save(rows, "sizes")  # texts are read once; sums, ranks and the final sort read these
+    laid = [F.col(key).alias("doc_id"), words(F.col(text)).alias("size"), _source(F.col(source)).alias("sk"), place.alias("place"), F.substring(place, 1, BUCKET_HEX).alias("bucket")]
+    rows = Scratch(docs.sparkSession).save(docs.select(*laid), "sizes")  # texts are read once; sums, ranks and the final sort read these
     sums = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("n"))
     per = targets(sums.groupBy("sk").agg(F.sum("n").alias("source_size")), cap, slope)
     start = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sums.withColumn("start", F.coalesce(F.sum("n").over(start), F.lit(0))).join(per, "sk").drop("n")
-    inside = Window.partitionBy("sk", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["place", "doc_id", "size"]
+    if whole:  # texts go to their buckets along with their rows, so that each row has its own place
+        rows, order = docs.select(*laid, F.crc32(F.col(text)).alias("crc"), F.struct(*docs.columns).alias("row")).where("size > 0"), [*order, "crc"]
+    inside = Window.partitionBy("sk", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     asked = F.floor(F.col("target") + 0.5).cast("long")
     return (
         rows.join(buckets, ["sk", "bucket"])
@@ -97,8 +98,8 @@ def lay(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_i
     )
 
 
-def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position, positions; sorted by position."""
+def timed(laid: DataFrame, slope: float = SLOPE) -> DataFrame:
+    """``laid`` with the times at which the copies of each row are due: ``positions``, null without copies."""
     b = F.lit(1.0) - F.col("slope")  # slope*t^2 + (1 - slope)*t = share
 
     def due(round_: Column) -> Column:
@@ -106,26 +107,23 @@ def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_i
         time = share if slope == 0 else (F.sqrt(b * b + F.lit(4.0) * F.col("slope") * share) - b) / (F.lit(2.0) * F.col("slope"))
         return time + F.lit(0.0)
 
+    return laid.withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), due)))
+
+
+def mix(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, position, positions; sorted by position."""
     return (
-        lay(docs, cap, slope, key, text, source)
-        .withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), due)))
+        timed(lay(docs, cap, slope, key, text, source), slope)
         .withColumn("position", F.get("positions", F.lit(0)))
         .select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 
 
-def copies(docs: DataFrame, cap: int = CAP, key: str = "doc_id", text: str = "text", source: str = "source", most_sources: int = 100_000) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, a part counting as once.
+def copies(docs: DataFrame, cap: int = CAP, slope: float = SLOPE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, a part counting as once; the copies are sorted by the times at which they are due.
 
-    Within a source the rows up to one place in the order are taken once more, so a
-    row's copies follow from its source's rounds and that place; no text is shuffled.
-    The sources are broadcast if they are ``most_sources`` at most.
+    Texts are shuffled twice, to the buckets of their sources and into the order of time.
     """
-    last = F.max(F.when(F.col("extra") > 0, F.concat("place", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, " "))))
-    per = lay(docs, cap, SLOPE, key, text, source).groupBy("sk").agg(F.max("rounds").alias("__rounds"), last.alias("__last")).withColumnRenamed("sk", "__sk")
-    small = per.limit(most_sources + 1).count() <= most_sources
-    here = F.concat(_place(F.col(key)), F.lpad(F.coalesce(F.col(key).cast("string"), F.lit("")), 20, " "))
-    n = F.col("__rounds") + F.when(here <= F.col("__last"), 1).otherwise(0)
-    rows = docs.withColumn("__sk", _source(F.col(source))).join(F.broadcast(per) if small else per, "__sk")
-    return rows.where(F.col(text).rlike(WORD) & (n > 0)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("__copy")).drop("__copy")
+    laid = timed(lay(docs, cap, slope, key, text, source, whole=True), slope).where(F.col("copies") > 0)
+    return laid.select("row", "place", F.explode("positions").alias("position")).orderBy("position", "place").select("row.*")

@@ -131,3 +131,29 @@ def test_every_round_has_its_position(spark):
             assert len(out.positions) == r.copies and out.positions[0] == out.position
             for j, t in enumerate(out.positions):
                 assert r.target * (t + r.slope * (t * t - t)) == pytest.approx(r["at"] + j * r.source_size, abs=1e-6)
+
+
+def test_copies_follow_the_curriculum(spark):
+    rows = [(i, "w " * (i % 5 + 1), "ab"[i % 4 == 0], "", i) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    due = sorted((t, r.doc_id) for r in mixing.mix(df).collect() for t in r.positions or [])
+    got = [r.doc_id for r in mixing.copies(df).collect()]
+    times = iter(due)
+    assert len(due) > 150 and Counter(got) == Counter(d for _, d in due) and max(Counter(got).values()) > 1
+    of = defaultdict(list)
+    for t, d in due:
+        of[d].append(t)
+    seen = Counter()
+    for d in got:  # the n-th copy of a document comes at its n-th time
+        t, seen[d] = of[d][seen[d]], seen[d] + 1
+        assert t == pytest.approx(next(times)[0])
+
+
+@pytest.mark.parametrize("same", [7, None])
+def test_copies_of_rows_with_one_id_or_none(spark, same):
+    """The end of the last round falls among rows of one id: only some are taken."""
+    rows = [(same, f"w{i}", "a", "", i) for i in range(40)] + [(i, f"w{i}", "b", "", i) for i in range(40, 80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [r.slot for r in mixing.copies(df).collect()]
+    assert (sum(i < 40 for i in got), sum(i >= 40 for i in got)) == (27, 53)
+    assert got == [r.slot for r in mixing.copies(spark.createDataFrame(rows[::-1], SCHEMA)).collect()]
